@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import crc_mod, table
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,4 +15,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts,)}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), crc_mod("doc_id", 3) != 1)
+    return toxicity.score(docs, model, limit=0.7).withColumn("held_out", crc_mod("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted", "worst_score", "worst_start", "worst_end")
+
+
+QUERIES = {f.__name__: f for f in (op4_toxicity, op5_token_counts)}
