@@ -23,4 +23,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, limit=0.7).withColumn("held_out", crc_mod("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted", "worst_score", "worst_start", "worst_end")
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_token_counts)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
+#: Verdicts by host and path.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
+QUERIES = {f.__name__: f for f in (op4_toxicity, op5_token_counts, op7_quality_rules, op8_url_filters)}
