@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import crc_mod, table
 
@@ -15,6 +16,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.size("removed").alias("n_spans"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -40,4 +48,4 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_token_counts, op7_quality_rules, op8_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_toxicity, op5_token_counts, op7_quality_rules, op8_url_filters)}
