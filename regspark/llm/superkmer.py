@@ -165,6 +165,24 @@ def _spans(of: np.ndarray, off: np.ndarray, size: int):
     return of[first], off[first], off[last] + 1
 
 
+def _by_suffix(packed: pa.Array, of: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
+    """The windows in the order of the suffixes that start with them."""
+    from .induced import suffix_array
+
+    col = packed.cast(pa.large_binary())
+    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + n + 1]
+    buf = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+    offs = offs - offs[0]
+    text = np.zeros(len(buf) + n + 1, np.int64)  # each string ends with 1, the whole with 0
+    text[: len(buf) + n] = 1
+    at = np.arange(len(buf)) + np.repeat(np.arange(n), np.diff(offs))
+    text[at] = buf.astype(np.int64) + 2
+    window = np.full(len(text), -1, np.int64)
+    window[offs[of] + of + off] = np.arange(len(of))
+    found = window[suffix_array(text, 258)]
+    return found[found >= 0]
+
+
 def _judge_sorted(sym: Symbols, rule: str):
     """Sorts the windows of whole minimisers and finds the repeated ones."""
     names = ["mini", "body", "a", "z"]
@@ -174,14 +192,17 @@ def _judge_sorted(sym: Symbols, rule: str):
         n = rows["n"].to_numpy()
         of, off, one, two = windows_of(sym, rows["packed"].combine_chunks(), n)
         doc, many = rows["doc"].to_numpy()[of], rows["many"].to_numpy(zero_copy_only=False)[of]
-        order = np.lexsort((doc, two, one))
+        if sym.kind == "byte":
+            order = _by_suffix(rows["packed"].combine_chunks(), of, off, len(n))
+        else:
+            order = np.lexsort((doc, two, one))
         o, w = one[order], two[order]
         new = np.ones(len(o), bool)
         new[1:] = (o[1:] != o[:-1]) | (w[1:] != w[:-1])
         group = np.cumsum(new) - 1
         d = doc[order]
         if rule == "earlier":  # a smaller document has the window
-            hit = d[np.flatnonzero(new)][group] < d
+            hit = np.minimum.reduceat(d, np.flatnonzero(new))[group] < d if len(d) else new
         else:  # it starts more than once
             hit = (np.bincount(group)[group] > 1) | many[order]
         at = order[hit]
