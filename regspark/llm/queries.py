@@ -23,6 +23,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.size("removed").alias("n_spans"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find
+
+    return find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -31,6 +37,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, limit=0.7).withColumn("held_out", crc_mod("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted", "worst_score", "worst_start", "worst_end")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -61,4 +73,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_toxicity, op5_token_counts, op7_quality_rules, op8_url_filters, op9_minhash_near_dedup, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op4_toxicity, op5_token_counts, op6_packing, op7_quality_rules, op8_url_filters, op9_minhash_near_dedup, op10_suffix_array_dedup)}
