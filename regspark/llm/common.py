@@ -48,7 +48,7 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     """mapInArrow in batches of few rows, as the rows hold whole texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df.mapInArrow(f, schema)

@@ -22,8 +22,11 @@ from .common import map_arrow
 WINDOW, MINIMISER = 50, 16
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
-    """doc, n_words, n_removed, kept (the words that stay, joined by one space) and removed (runs of word indexes)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, as_it_is: bool = False) -> DataFrame:
+    """doc, n_words, n_removed, kept (the words that stay, joined by one space) and removed (runs of word indexes).
+
+    as_it_is: texts that lose nothing stay as they are in `kept`.
+    """
     sym = sk.Symbols("word", window, minimiser)
     spans = sk.repeated(docs, sym, "earlier", id_col, text_col)
     names = ["doc", "n_words", "n_removed", "kept", "removed"]
@@ -38,7 +41,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept, runs = [], []
             a, z, rb = t.runs(out, bounds)
             for k in range(len(ids)):
-                if rb[k] == rb[k + 1]:
+                if rb[k] == rb[k + 1] and as_it_is:
+                    pairs = [(int(offs[k]), int(offs[k + 1]))]
+                elif rb[k] == rb[k + 1]:
                     pairs = zip(s[bounds[k] : bounds[k + 1]].tolist(), e[bounds[k] : bounds[k + 1]].tolist(), strict=True)
                 else:
                     w = bounds[k] + np.flatnonzero(~out[bounds[k] : bounds[k + 1]])

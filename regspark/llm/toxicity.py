@@ -168,3 +168,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(doc), pa.array((doc >= limit).astype(np.int32)), pa.array(p), pa.array(start), pa.array(end)], [id_col, "score", "predicted", "worst_score", "worst_start", "worst_end"])
 
     return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {id_type}, score double, predicted int, worst_score double, worst_start long, worst_end long")
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns as they are, that score under the limit."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS floats
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            keep = [shared.value.score(buf, offs)[0] < limit for _, _, buf, offs in t.chunks(b.column(at))]
+            yield b.filter(pa.array(np.concatenate(keep))) if keep else b
+
+    return map_arrow(docs, run, docs.schema)
