@@ -91,9 +91,9 @@ def verify(hives: DataFrame, hbins: DataFrame, cells: DataFrame) -> DataFrame:
     """One row for each hive and invariant: holds or not."""
     h = hives.select("hive_id", F.explode(F.array(
         F.struct(F.lit("sequence").alias("check"), (F.col("primary_seq") == F.col("secondary_seq")).alias("holds")),
-        F.struct(F.lit("checksum"), F.col("checksum_stored") == F.col("checksum_calc")),
-        F.struct(F.lit("file_size"), F.col("file_size") >= F.col("data_size") + 4096),
-        F.struct(F.lit("root"), (F.col("root_cell") % 8 == 0) & (F.col("root_cell") < F.col("data_size"))),
+        F.struct(F.lit("checksum").alias("check"), (F.col("checksum_stored") == F.col("checksum_calc")).alias("holds")),
+        F.struct(F.lit("file_size").alias("check"), (F.col("file_size") >= F.col("data_size") + 4096).alias("holds")),
+        F.struct(F.lit("root").alias("check"), ((F.col("root_cell") % 8 == 0) & (F.col("root_cell") < F.col("data_size"))).alias("holds")),
     )).alias("c")).select("hive_id", "c.check", "c.holds")
     b = hbins.groupBy("hive_id").agg(F.bool_and((F.col("size") % 4096 == 0) & (F.col("file_off_field") == F.col("abs_off") - 4096)).alias("holds")).select("hive_id", F.lit("hbins").alias("check"), "holds")
     e = cells.groupBy("hive_id").agg(F.bool_and((F.col("size") >= 8) & (F.col("size") % 8 == 0)).alias("holds")).select("hive_id", F.lit("cells").alias("check"), "holds")
