@@ -463,11 +463,11 @@ def utf16_roundtrip(spark, sf):
     return d.select("doc_id", c.utf16(c.sz_bytes("text")).alias("back"), (F.octet_length(c.sz_bytes("text")) % 2 == 0).alias("ok"))
 
 
-@query("SELECT conv_id, list(text ORDER BY turn) AS parts FROM conversations WHERE text <> '' GROUP BY 1")
+@query("SELECT conv_id, string_agg(text, ' / ' ORDER BY turn) AS parts FROM conversations WHERE text <> '' GROUP BY 1")
 def multi_sz_roundtrip(spark, sf):
     v = spark.read.parquet(f"{sf}/conversations.parquet").where("text <> ''")
     g = v.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x.text).alias("parts"))
-    return g.select("conv_id", c.utf16_list(c.multi_sz_bytes("parts")).alias("parts"))
+    return g.select("conv_id", F.array_join(c.utf16_list(c.multi_sz_bytes("parts")), " / ").alias("parts"))
 
 
 @query("SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace(url, '\\', '/'), '/'), lambda x: trim(x)), lambda x: x <> ''), '\\') AS path FROM pages")
