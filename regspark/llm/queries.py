@@ -82,3 +82,44 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_lm_scoring, op4_toxicity, op5_token_counts, op6_packing, op7_quality_rules, op8_url_filters, op9_minhash_near_dedup, op10_suffix_array_dedup)}
+
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+#: The results that SQL can state, over whole tables.
+ORACLES = {
+    "op1_substring_dedup": rf"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, a, md5(array_to_string(ws[a:a + 49], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS a FROM w WHERE len(ws) >= 50)),
+first AS (SELECT s, min(doc_id) AS f FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, a + j AS place FROM (SELECT doc_id, a FROM win JOIN first USING (s) WHERE f < doc_id), (SELECT unnest(range(50)) AS j)),
+per AS (SELECT doc_id, list(place) AS gone, count(*) AS n, count(*) FILTER (before IS DISTINCT FROM place - 1) AS spans FROM (SELECT doc_id, place, lag(place) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM gone) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(ws, ' ') ELSE array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ws[i]), ' ') END) AS kept_sha256, coalesce(spans, 0)::INTEGER AS n_spans
+FROM w LEFT JOIN per USING (doc_id)""",
+    "op2_decontamination": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT doc_id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (SELECT doc_id, w, len(w) AS n, unnest(range(0, len(w) - 4)) AS p FROM d)),
+ish AS (SELECT item_id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (SELECT item_id, w, len(w) AS n, unnest(range(0, len(w) - 4)) AS p FROM i)),
+diff AS (SELECT item_id, count(DISTINCT s) AS different FROM ish GROUP BY 1),
+met AS (SELECT doc_id, item_id, ish.n AS l, ds.s, greatest(0, least(ds.p - ish.p, ds.n - ish.n)) AS start FROM ds JOIN ish USING (s)),
+cand AS (SELECT doc_id, item_id FROM met JOIN diff USING (item_id) GROUP BY doc_id, item_id, different HAVING count(DISTINCT s) >= 0.8 * different),
+win AS (SELECT DISTINCT doc_id, item_id, l, start FROM met JOIN cand USING (doc_id, item_id)),
+ws AS (SELECT win.doc_id, item_id, l, start, s, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p BETWEEN start AND start + l - 5 GROUP BY ALL),
+ic AS (SELECT item_id, s, count(*) AS c FROM ish GROUP BY ALL),
+sums AS (SELECT doc_id, item_id, l, start, sum(ws.c) AS nw, coalesce(sum(least(ws.c, ic.c)), 0) AS common FROM ws LEFT JOIN ic USING (item_id, s) GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, l, start, (common / (nw + (SELECT sum(c) FROM ic WHERE ic.item_id = sums.item_id) - common))::DOUBLE AS similarity FROM sums)
+SELECT doc_id, item_id, similarity, start::INTEGER AS start, l::INTEGER AS n_words FROM sim WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1""",
+    "op9_minhash_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+sh AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sh),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS c FROM one a JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pairs WHERE 100 * c >= 85 * (an + bn - c)),
+sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS doc, doc_id AS top FROM sh UNION SELECT sym.b, reach.top FROM reach JOIN sym ON reach.doc = sym.a),
+comp AS (SELECT doc AS doc_id, min(top) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sh JOIN comp USING (doc_id)""",
+}
