@@ -123,3 +123,31 @@ reach AS (SELECT doc_id AS doc, doc_id AS top FROM sh UNION SELECT sym.b, reach.
 comp AS (SELECT doc AS doc_id, min(top) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sh JOIN comp USING (doc_id)""",
 }
+
+
+def _url_sql() -> str:
+    hosts = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = []
+    for verdict, rule in sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1])):
+        host, slash, path = rule.partition("/")
+        fits.append((f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{path}')", rule, verdict))
+    case = lambda k: "CASE " + " ".join(f"WHEN {x[0]} THEN '{x[k]}'" for x in fits) + " END"
+    sql = f"""
+WITH p AS (SELECT page_id, {hosts} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r AS (SELECT *, {case(1)} AS rule, {case(2)} AS said, list_transform(string_split(ltrim(path, '/'), '/'), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS segs FROM p),
+t0 AS (SELECT host, segs, count(*)::DOUBLE AS n, count(*) FILTER (said = 'allow')::DOUBLE AS good, count(*) FILTER (said = 'block')::DOUBLE AS bad, '' AS node FROM r GROUP BY ALL)"""
+    for d in range(4):
+        sql += f""",
+k{d} AS (SELECT host, node, segs[{d + 1}] AS seg, sum(n) AS kn, sum(good) AS kg, sum(bad) AS kb FROM t{d} WHERE len(segs) > {d} GROUP BY ALL),
+a{d} AS (SELECT host, node, count(*) AS kids, sum(kn) AS tn, sum(kg) AS tg, sum(kb) AS tb FROM k{d} GROUP BY ALL),
+n{d} AS (SELECT host, node, seg, CASE WHEN kids > 32 AND kn < 0.05 * tn THEN '*'
+  WHEN kg + kb > 0 AND tg + tb - kg - kb > 0 AND abs(kg / (kg + kb) - (tg - kg) / (tg + tb - kg - kb)) <= 1.96 * sqrt(tg / (tg + tb) * (1 - tg / (tg + tb)) * (1 / (kg + kb) + 1 / (tg + tb - kg - kb))) THEN '~' ELSE seg END AS new FROM k{d} JOIN a{d} USING (host, node)),
+t{d + 1} AS (SELECT t.host, t.segs, t.n, t.good, t.bad, CASE WHEN x.seg IS NULL THEN t.node ELSE t.node || '/' || x.new END AS node FROM t{d} t LEFT JOIN n{d} x ON t.host = x.host AND t.node = x.node AND t.segs[{d + 1}] = x.seg)"""
+    return sql + """,
+f AS (SELECT host, segs, good, bad, CASE WHEN len(segs) > 4 THEN node || '/' || array_to_string(segs[5:], '/') ELSE node END AS node FROM t4),
+u AS (SELECT host, node, (sum(good) + 1) / (sum(good) + sum(bad) + 2) AS purity FROM f GROUP BY ALL)
+SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN purity < 0.25 THEN 'block' ELSE 'allow' END) AS verdict, f.node AS template, purity
+FROM r JOIN f ON r.host = f.host AND r.segs = f.segs JOIN u ON f.host = u.host AND f.node = u.node"""
+
+
+ORACLES["op8_url_filters"] = _url_sql()
