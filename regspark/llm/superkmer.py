@@ -33,7 +33,7 @@ from .common import map_arrow, materialise
 #: Strings of one minimiser beyond which its windows are dealt out by their own hashes.
 HOT = 2000
 #: Bytes of strings that are sorted together.
-SORTED = 1 << 23
+SORTED = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,11 @@ class Symbols:
     k: int
     m: int
 
+    @property
+    def chunk(self) -> int:
+        """Bytes of text at a time; the arrays over them have eight bytes for each symbol."""
+        return t.CHUNK if self.kind == "word" else t.CHUNK >> 2
+
     def cut(self, buf, offs):
         """Start and end bytes of the symbols, document bounds, and a hash of each symbol."""
         if self.kind == "byte":
@@ -107,7 +112,7 @@ def _places(docs: DataFrame, sym: Symbols) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i, _, buf, offs in t.chunks(b.column(1)):
+            for i, _, buf, offs in t.chunks(b.column(1), sym.chunk):
                 _, _, bounds, h = sym.cut(buf, offs)
                 doc, start, n, mini, body = super_kmers(sym, h, bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc]), pa.array(start - bounds[doc]), pa.array(n.astype(np.int32)), pa.array(mini.view(np.int64)), pa.array(body.view(np.int64))], ["doc", "at", "n", "mini", "body"])
@@ -123,7 +128,7 @@ def _strings(wanted: DataFrame, sym: Symbols) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for first, texts in unpacked(b.column(1)):
-                for i, j, buf, offs in t.chunks(texts):
+                for i, j, buf, offs in t.chunks(texts, sym.chunk):
                     i, j = first + i, first + j
                     s, e, bounds, _ = sym.cut(buf, offs)
                     asked = b.column(2).slice(i, j - i)
