@@ -21,7 +21,7 @@ from . import superkmer as sk
 from . import textkit as t
 from .common import map_arrow
 
-LENGTH, MINIMISER = 200, 48
+LENGTH, MINIMISER = 200, 32
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, minimiser: int = MINIMISER) -> DataFrame:

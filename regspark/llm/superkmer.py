@@ -256,13 +256,18 @@ def repeated(docs: DataFrame, sym: Symbols, rule: str, id_col: str = "doc_id", t
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     places = _places(docs, sym)
-    same = places.groupBy("mini", "body").agg(F.min("doc").alias("least"), F.count("*").alias("times"))
-    by_mini = same.groupBy("mini").agg(F.count("*").alias("contents"), F.sum("times").alias("total"))
-    again = same.join(by_mini.where("total > 1"), "mini")
-    every = materialise(places.join(again.drop("total"), ["mini", "body"]))
+    same = places.where("mini is not null and body is not null").groupBy("mini", "body").agg(F.min("doc").alias("least"), F.count("*").alias("times"))
+    # `first` and the filter make both uses of `same` need the same plan, so its shuffle is made once
+    by_mini = same.groupBy("mini").agg(F.count("*").alias("contents"), F.sum("times").alias("total"), F.min("least").alias("first"))
+    again = same.join(by_mini.where("total > 1 and first is not null"), "mini").drop("total", "first")
+    whole = F.col("doc") > F.col("least") if rule == "earlier" else F.col("times") > 1
+    # names are kept only where a bucket's verdict is needed
+    named = (F.col("contents") > 1) & (~whole | (F.col("doc") == F.col("least")))
+    every = places.join(again, ["mini", "body"]).select("doc", "at", "n", whole.alias("whole"), named.alias("named"), *(F.when(named, F.col(x)).alias(x) for x in ("mini", "body", "times", "contents", "least")))
+    every = materialise(every)
 
     # one string of each content of minimisers with several
-    one = every.where("contents > 1 and doc = least").groupBy("mini", "body", "doc").agg(F.min("at").alias("at"), F.max("n").alias("n"), F.max("times").alias("times"), F.max("contents").alias("contents"))
+    one = every.where("named and doc = least").groupBy("mini", "body", "doc").agg(F.min("at").alias("at"), F.max("n").alias("n"), F.max("times").alias("times"), F.max("contents").alias("contents"))
     ask = one.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "mini", "body", (F.col("times") > 1).alias("many"), (F.col("contents") > HOT).alias("hot"))).alias("asked"))
     strings = materialise(_strings(pack_texts(docs, "doc", "text").join(ask, "doc"), sym))
     cold = strings.where("not hot").repartition("mini").sortWithinPartitions("mini")
@@ -274,12 +279,8 @@ def repeated(docs: DataFrame, sym: Symbols, rule: str, id_col: str = "doc_id", t
     inside = materialise(cold.unionByName(hot))
 
     # back to the places
-    if rule == "earlier":
-        whole = F.col("doc") > F.col("least")
-    else:
-        whole = F.col("times") > 1
-    more = every.where(~whole).join(inside, ["mini", "body"]).select("doc", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("z")).alias("z"))
-    got = every.where(whole).select("doc", F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("z")).unionByName(more)
+    more = every.where("named and not whole").join(inside, ["mini", "body"]).select("doc", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("z")).alias("z"))
+    got = every.where("whole").select("doc", F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("z")).unionByName(more)
     return got.select("doc", "a", (F.col("z") + sym.k - 1).alias("z"))
 
 
