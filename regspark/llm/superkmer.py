@@ -47,7 +47,7 @@ class Symbols:
     @property
     def chunk(self) -> int:
         """Bytes of text at a time; the arrays over them have eight bytes for each symbol."""
-        return t.CHUNK if self.kind == "word" else t.CHUNK >> 2
+        return t.CHUNK if self.kind == "word" else t.CHUNK >> 1
 
     def cut(self, buf, offs):
         """Start and end bytes of the symbols, document bounds, and a hash of each symbol."""
@@ -93,7 +93,7 @@ def pack_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(rows, run, "doc long, z binary")
 
 
-def unpacked(col: pa.Array, limit: int = 1 << 24):
+def unpacked(col: pa.Array, limit: int = 1 << 22):
     """(first row, texts) for runs of packed texts."""
     import zstandard
 

@@ -1,7 +1,8 @@
 """Vectorised text kernels: words, hashes and windows of many documents at a time.
 
 A chunk holds whole documents back to back: `buf` has their UTF-8 bytes and
-`offs` the n + 1 bounds. A chunk is some megabytes, or one longer document.
+`offs` the n + 1 bounds. A chunk is half a megabyte, or one longer document; arrays
+over it have eight bytes for each byte of text.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 U = np.uint64
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
