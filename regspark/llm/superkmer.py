@@ -14,8 +14,10 @@ minimisers, so what repeats is found within one minimiser's strings:
 4. Repeated windows go back, by content, to the documents that hold them.
 
 A hot minimiser costs one row per map task in step 1 and one string per
-different content in step 2; its windows are split over buckets by salting
-whole windows when there are many (see `HOT`).
+different content in step 2. Where there are over HOT of these, they are cut
+once more: windows with the minimiser at nearly the same place in them share a
+longer core, and the cores are buckets of their own. Equal pieces are summed up
+before they meet, so no task gets all strings of a hot minimiser.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from . import textkit as t
 from .common import map_arrow, materialise
 
-#: Strings of one minimiser beyond which its windows are dealt out by their own hashes.
-HOT = 2000
+#: Strings of one minimiser beyond which they are cut once more, and windows in such a piece.
+HOT, PIECE = 500, 8
 #: Bytes of strings that are sorted together.
 SORTED = 1 << 21
 
@@ -234,19 +236,63 @@ def _judge_sorted(sym: Symbols, rule: str):
     return run
 
 
-def _exploded(sym: Symbols):
-    names = ["one", "two", "mini", "body", "doc", "many", "off"]
+def _pieces(sym: Symbols):
+    """Cuts strings into pieces of PIECE windows or less; those that can be equal get the same key, a hash of their common core."""
+    names = ["mini", "body", "doc", "many", "base", "n", "key", "part", "packed"]
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            of, off, one, two = windows_of(sym, b.column("packed"), b.column("n").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(b.column(x).take(pa.array(of)) for x in ("mini", "body", "doc", "many")), pa.array(off.astype(np.int32))], names)
+            col = b.column("packed").cast(pa.large_binary())
+            offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+            buf = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+            s, e, bounds, h = sym.cut(buf, offs - offs[0])
+            n, mini = b.column("n").to_numpy().astype(np.int64), b.column("mini").to_numpy().view(t.U)
+            pre = t.prefix(h)
+            # all windows of a string hold its minimiser: it starts at n - 1 to k - m
+            width = sym.k - sym.m - n + 2
+            of = np.repeat(np.arange(len(n)), width)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width) + n[of] - 1
+            here = t.slices(pre, bounds[of] + at, bounds[of] + at + sym.m) == mini[of]
+            _, first = np.unique(of[here], return_index=True)
+            place = at[here][first]
+            # window o has the minimiser at place - o; pieces are runs of these
+            lo, hi = (place - n + 1) // PIECE, place // PIECE
+            count = hi - lo + 1
+            of = np.repeat(np.arange(len(n)), count)
+            g = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + lo[of]
+            a = np.maximum(place[of] - g * PIECE - PIECE + 1, 0)
+            z = np.minimum(place[of] - g * PIECE, n[of] - 1) + 1
+            core = bounds[of] + place[of] - g * PIECE
+            key = t.mix(t.slices(pre, core, core + sym.k - PIECE + 1) ^ mini[of] + g.astype(t.U))
+            x, y = bounds[of] + a, bounds[of] + z + sym.k - 1
+            part = t.mix(t.slices(pre, x, y) + (z - a).astype(t.U))
+            raw = buf.tobytes()
+            x, y = (x, y) if s is None else (s[x], e[y - 1])
+            packed = [raw[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in names[:4]), pa.array(a), pa.array((z - a).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(part.view(np.int64)), pa.array(packed, pa.binary())], names)
 
     return run
 
 
+def _judge_hot(strings: DataFrame, sym: Symbols, rule: str) -> DataFrame:
+    """Verdicts (mini, body, a, z) over strings of hot minimisers, by way of their pieces."""
+    pieces = materialise(map_arrow(strings, _pieces(sym), "mini long, body long, doc long, many boolean, base long, n int, key long, part long, packed binary"))
+    one = pieces.groupBy("key", "part").agg(F.min("doc").alias("least"), F.count("*").alias("times"), F.bool_or("many").alias("any"), F.max("n").alias("n"), F.max("packed").alias("packed"))
+    one = materialise(one)
+    asked = one.select(F.col("key").alias("mini"), F.col("part").alias("body"), (F.col("any") | (F.col("times") > 1)).alias("many"), F.lit(True).alias("hot"), "n", F.col("least").alias("doc"), "packed")
+    dealt = asked.repartition("mini").sortWithinPartitions("mini")
+    found = map_arrow(dealt, _judge_sorted(sym, rule), "mini long, body long, a int, z int").select(F.col("mini").alias("key"), F.col("body").alias("part"), "a", "z")
+    known = pieces.drop("packed").join(one.select("key", "part", "least", "times"), ["key", "part"])
+    whole = F.col("doc") > F.col("least") if rule == "earlier" else F.col("times") > 1
+    known = known.withColumn("whole", whole)
+    all_of = known.where("whole").select("mini", "body", F.col("base").alias("a"), (F.col("base") + F.col("n")).alias("z"))
+    some = known.where("not whole").join(found, ["key", "part"]).select("mini", "body", (F.col("base") + F.col("a")).alias("a"), (F.col("base") + F.col("z")).alias("z"))
+    return all_of.unionByName(some).select("mini", "body", F.col("a").cast("int").alias("a"), F.col("z").cast("int").alias("z"))
+
+
 def repeated(docs: DataFrame, sym: Symbols, rule: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc, a, z): symbols a to z of the document lie in repeated windows; spans of a document may overlap.
 
@@ -272,11 +318,9 @@ def repeated(docs: DataFrame, sym: Symbols, rule: str, id_col: str = "doc_id", t
     strings = materialise(_strings(pack_texts(docs, "doc", "text").join(ask, "doc"), sym))
     cold = strings.where("not hot").repartition("mini").sortWithinPartitions("mini")
     cold = map_arrow(cold, _judge_sorted(sym, rule), "mini long, body long, a int, z int")
-    rows = map_arrow(strings.where("hot"), _exploded(sym), "one long, two long, mini long, body long, doc long, many boolean, off int")
-    seen = rows.groupBy("one", "two").agg(F.min("doc").alias("least"), F.count("*").alias("times"), F.bool_or("many").alias("any"))
-    found = F.col("least") < F.col("doc") if rule == "earlier" else (F.col("times") > 1) | F.col("any")
-    hot = rows.join(seen, ["one", "two"]).where(found).select("mini", "body", F.col("off").alias("a"), (F.col("off") + 1).alias("z"))
-    inside = materialise(cold.unionByName(hot))
+    if not strings.where("hot").isEmpty():
+        cold = cold.unionByName(_judge_hot(strings.where("hot"), sym, rule))
+    inside = materialise(cold)
 
     # back to the places
     more = every.where("named and not whole").join(inside, ["mini", "body"]).select("doc", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("z")).alias("z"))
