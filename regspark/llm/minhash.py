@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), *(pa.array(x.view(np.int64)) for x in dig), per(bands.view(np.int64), pa.list_(pa.int64())), per([x.tobytes() for x in packed], pa.binary())], ["doc", "n", "d1", "d2", "bands", "packed"])
 
     signed = materialise(map_arrow(d, sign, "doc long, n long, d1 long, d2 long, bands array<long>, packed binary"))
-    classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
+    # a table of its own, so that a class of many rows can be split in the joins with it
+    classes = materialise(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep")))
     member = signed.select("doc", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
     reps = signed.join(classes, (signed.doc == classes.rep) & (signed.d1 == classes.d1) & (signed.d2 == classes.d2)).select("doc", "bands", "packed")
 
