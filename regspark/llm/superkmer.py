@@ -35,7 +35,7 @@ from .common import map_arrow, materialise
 #: Strings of one minimiser beyond which they are cut once more, and windows in such a piece.
 HOT, PIECE = 500, 8
 #: Bytes of strings that are sorted together.
-SORTED = 1 << 21
+SORTED = 1 << 20
 
 
 @dataclass(frozen=True)
