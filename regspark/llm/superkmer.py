@@ -168,7 +168,7 @@ def _spans(of: np.ndarray, off: np.ndarray, size: int):
     new = np.ones(len(of), bool)
     new[1:] = (of[1:] != of[:-1]) | (off[1:] != off[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(of)) - 1
+    last = np.append(first[1:], len(of))[: len(first)] - 1  # none for none
     return of[first], off[first], off[last] + 1
 
 
