@@ -3,15 +3,18 @@
 Words are the runs of letters and digits of a lower-cased text; a shingle is
 five of them, weighted by how often it occurs in its window.
 
-1. Shingles of a document that an item has propose windows of the item's size,
-   aligned with it. A window as similar as `SIMILARITY` shares at least that
-   share of the item's different shingles, so documents that share fewer with
-   an item propose none for it; this loses nothing.
+1. Windows of the item's size start at every word. Those that share enough
+   shingles with an item, in whatever order, are proposed: a running sum over
+   the places of the item's shingles has what each window shares, so no window
+   of a document that passes the filter is skipped. Documents that share fewer
+   than `SIMILARITY` of an item's different shingles propose none for it.
 2. Each window gets a 64-bit SimHash of its weighted shingles. With RADIUS + 1
    blocks of bits, two fingerprints within RADIUS agree in a whole block (the
    pigeonhole principle), so an equi-join on item size, block and its bits
-   finds all of them.
-3. Candidates within RADIUS are verified by their exact weighted Jaccard.
+   finds all of them. RADIUS is for shingles of equal weight; where a window or
+   its item repeats some, few heavy ones decide the bits, so these are
+   candidates without it.
+3. Candidates are verified by their exact weighted Jaccard.
 
 A text or item that is null or has under five words has no shingle and meets
 nothing. A document shorter than an item is one window. Rows without an id are
@@ -21,7 +24,7 @@ Columns other than ids and texts are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -59,41 +62,68 @@ def blocks(fp: Column) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (z - a)) - 1).cast("long")).alias("bits")) for i, (a, z) in enumerate(zip(ends, ends[1:]))))
 
 
+def plain(sh: Column) -> Column:
+    """No shingle is repeated."""
+    return F.size(F.array_distinct(sh)) == F.size(sh)
+
+
 def weighted_jaccard(a: Column, b: Column) -> Column:
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
-    both = F.when(plain, F.size(F.array_intersect(a, b))).otherwise(F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x))))
+    both = F.when(plain(a) & plain(b), F.size(F.array_intersect(a, b))).otherwise(F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x))))
     return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
 
 
+def windows_in_reach(met: DataFrame, similarity: float) -> DataFrame:
+    """doc, row, item, irow, length and start of the windows that share enough shingles, repeats counted, to be `similarity` alike.
+
+    met: doc, row, its n words, item, irow, length, shingle sh with its `times` in the item and its place p in the document.
+    A place counts in the windows that hold it and in which it is among the first `times` of its shingle. These
+    starts are one interval, so a running sum over their ends has what every window shares, at any stride.
+    """
+    pair = ["doc", "row", "n", "item", "irow", "length"]
+    width = F.least("n", "length") - (SHINGLE - 1)
+    enough = similarity * (width + F.col("length") - (SHINGLE - 1)) / (1 + similarity) - 1e-9
+    same = met.groupBy(*pair, "different", "sh", "times").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    near = same.groupBy(*pair, "different").agg(F.collect_list(F.struct("times", "ps")).alias("each"))
+    near = near.where(F.size("each") >= similarity * F.col("different")).select(*pair, F.inline("each"))
+    first = lambda p, i: F.greatest(F.lit(0), p - width + 1, F.get("ps", i - F.col("times")) + 1)
+    ends = F.transform("ps", lambda p, i: F.struct(first(p, i).alias("a"), (F.least(p, F.greatest(F.lit(0), F.col("n") - F.col("length"))) + 1).alias("z")))
+    ends = near.select(*pair, F.inline(ends)).where("a < z").select(*pair, F.inline(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("z").alias("at"), F.lit(-1).alias("d")))))
+    w = Window.partitionBy(*pair).orderBy("at")
+    runs = ends.groupBy(*pair, "at").agg(F.sum("d").alias("d")).select(*pair, "at", F.sum("d").over(w).alias("shared"), F.lead("at").over(w).alias("end"))
+    return runs.where((F.col("shared") > 0) & (F.col("shared") >= enough)).select("doc", "row", "item", "irow", "length", F.explode(F.sequence("at", F.col("end") - 1)).alias("start"))
+
+
 def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", doc_text: str = "text", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each document and item that meet: ids, similarity, start (word) and n_words of the best window."""
-    d = docs.select(F.col(doc_id).alias("doc"), words(F.col(doc_text)).alias("w")).where(F.col("doc").isNotNull())
+    d = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).where(F.col("doc").isNotNull())
+    d = d.select("doc", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w"))
     it = items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("iw")).where(F.col("item").isNotNull() & (F.size("iw") >= SHINGLE))
-    it = materialise(it.select("item", F.size("iw").alias("length"), shingles(F.col("iw")).alias("ish")).withColumn("fp", simhash(F.col("ish"))))
+    it = it.select("item", F.size("iw").alias("length"), shingles(F.col("iw")).alias("ish")).distinct()
+    it = materialise(it.withColumns({"irow": F.xxhash64("ish"), "iplain": plain(F.col("ish")), "fp": simhash(F.col("ish"))}))
     size = it.agg(F.sum(F.size("ish"))).first()[0] or 0
-    known = it.select("item", "length", F.size(F.array_distinct("ish")).alias("different"), F.posexplode("ish").alias("ip", "sh"))
+    known = it.select("item", "irow", "length", F.size(F.array_distinct("ish")).alias("different"), F.explode("ish").alias("sh"))
+    known = known.groupBy("item", "irow", "length", "different", "sh").agg(F.count("*").cast("int").alias("times"))
     known = F.broadcast(known) if size <= BROADCAST else known
 
-    at = d.where(F.size("w") >= SHINGLE).select("doc", "w", F.explode(F.sequence(F.lit(0), F.size("w") - SHINGLE)).alias("p"))
-    at = at.select("doc", F.size("w").alias("n"), "p", F.xxhash64(F.array(*(F.col("w")[F.col("p") + k] for k in range(SHINGLE)))).alias("sh"))
-    met = at.join(known, "sh").select("doc", "n", "item", "length", "different", "sh", (F.col("p") - F.col("ip")).alias("start"))
-    start = F.greatest(F.lit(0), F.least(F.col("start"), F.col("n") - F.col("length")))
-    met = met.groupBy("doc", "item").agg(F.collect_set(start).alias("starts"), F.size(F.collect_set("sh")).alias("shared"), F.max("different").alias("different"), F.max("length").alias("length"))
-    met = met.where(F.col("shared") >= similarity * F.col("different"))
-    asked = materialise(met.select("doc", "length", F.explode("starts").alias("start")).distinct())
-
-    spans = asked.groupBy("doc").agg(F.collect_list(F.struct("length", "start")).alias("asked"))
-    some = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).join(spans, "doc")
-    some = some.select("doc", words(F.col("text")).alias("w"), "asked").select("doc", "w", F.explode("asked").alias("q"))
-    window = some.select("doc", F.col("q.length").alias("length"), F.col("q.start").alias("start"), shingles(F.slice("w", F.col("q.start") + 1, F.col("q.length"))).alias("sh"))
-    window = materialise(window.where(F.size("sh") > 0).withColumn("fp", simhash(F.col("sh"))))
-
-    one = window.select("doc", "length", "start", "fp", F.explode(blocks(F.col("fp"))).alias("b")).select("doc", "length", "start", "fp", "b.block", "b.bits")
-    two = it.select("item", "length", F.col("fp").alias("ifp"), F.explode(blocks(F.col("fp"))).alias("b")).select("item", "length", "ifp", "b.block", "b.bits")
+    at = d.where(F.size("w") >= SHINGLE).select("doc", "row", "w", F.explode(F.sequence(F.lit(0), F.size("w") - SHINGLE)).alias("p"))
+    at = at.select("doc", "row", F.size("w").alias("n"), "p", F.xxhash64(F.array(*(F.col("w")[F.col("p") + k] for k in range(SHINGLE)))).alias("sh"))
+    asked = materialise(windows_in_reach(at.join(known, "sh"), similarity))
+
+    spans = asked.select("doc", "row", "length", "start").distinct().groupBy("doc", "row").agg(F.collect_list(F.struct("length", "start")).alias("asked"))
+    some = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(doc_text).alias("row"), F.col(doc_text).alias("text")).join(spans, ["doc", "row"])
+    some = some.select("doc", "row", words(F.col("text")).alias("w"), "asked").select("doc", "row", "w", F.explode("asked").alias("q"))
+    window = some.select("doc", "row", F.col("q.length").alias("length"), F.col("q.start").alias("start"), shingles(F.slice("w", F.col("q.start") + 1, F.col("q.length"))).alias("sh"))
+    window = materialise(window.where(F.size("sh") > 0).withColumns({"plain": plain(F.col("sh")), "fp": simhash(F.col("sh"))}))
+
+    place, which = ["doc", "row", "length", "start"], ["item", "irow"]
+    one = window.select(*place, "fp", F.explode(blocks(F.col("fp"))).alias("b")).select(*place, "fp", "b.block", "b.bits")
+    two = it.select(*which, "length", F.col("fp").alias("ifp"), F.explode(blocks(F.col("fp"))).alias("b")).select(*which, "length", "ifp", "b.block", "b.bits")
     two = F.broadcast(two) if size <= BROADCAST else two
-    near = one.join(two, ["length", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("doc", "length", "start", "item").distinct()
-    pairs = near.join(window.drop("fp"), ["doc", "length", "start"]).join(F.broadcast(it.select("item", "ish")) if size <= BROADCAST else it.select("item", "ish"), "item")
+    known_item = lambda *c: F.broadcast(it.select(*which, *c)) if size <= BROADCAST else it.select(*which, *c)
+    near = one.join(two, ["length", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*place, *which)
+    heavy = asked.join(window.select(*place, "plain"), place).join(known_item("iplain"), which).where(~(F.col("plain") & F.col("iplain"))).select(*place, *which)
+    pairs = near.unionByName(heavy).distinct().join(window.drop("fp", "plain"), place).join(known_item("ish"), which)
     pairs = pairs.select("doc", "item", "start", "length", weighted_jaccard(F.col("sh"), F.col("ish")).alias("similarity")).where(F.col("similarity") >= similarity)
     best = pairs.groupBy("doc", "item").agg(F.max(F.struct("similarity", -F.col("start"), "length")).alias("b"))
     return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("b.similarity").alias("similarity"), (-F.col("b.col2")).alias("start"), F.col("b.length").alias("n_words"))

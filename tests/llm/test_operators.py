@@ -231,6 +231,19 @@ def test_leaks(spark, odd):
     assert got == brute.leaks(docs, items) and len(got) > 15
 
 
+def test_leaks_reordered(spark):
+    rng = random.Random(10)
+    say = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    items, docs = [], []
+    for i, (n, moved) in enumerate([(100, 30), (100, 12), (60, 15), (60, 9), (59, 40)]):
+        w = say(n)
+        items.append((i, " ".join(w)))
+        docs.append((i, " ".join([*say(80), *w[-moved:], *w[:-moved], *say(80)])))
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start, r.n_words) for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == brute.leaks(docs, items) and len(got) == 5
+    assert got[0, 0] == (round(92 / 100, 9), 80, 100)
+
+
 def test_simhash(spark):
     h = [3, -1, 7, 7, 1 << 62]
     df = spark.createDataFrame([(h,)], "sh array<long>").select(decontaminate.simhash(F.col("sh")).alias("x"))
