@@ -5,9 +5,9 @@ five of them, weighted by how often it occurs in its window.
 
 1. Windows of the item's size start at every word. Those that share enough
    shingles with an item, in whatever order, are proposed: a running sum over
-   the places of the item's shingles has what each window shares, so no window
-   of a document that passes the filter is skipped. Documents that share fewer
-   than `SIMILARITY` of an item's different shingles propose none for it.
+   the places of the item's shingles has what each window shares, each shingle
+   at most as often as the item has it, which is the numerator of the weighted
+   Jaccard; this loses nothing.
 2. Each window gets a 64-bit SimHash of its weighted shingles. With RADIUS + 1
    blocks of bits, two fingerprints within RADIUS agree in a whole block (the
    pigeonhole principle), so an equi-join on item size, block and its bits
@@ -83,9 +83,9 @@ def windows_in_reach(met: DataFrame, similarity: float) -> DataFrame:
     pair = ["doc", "row", "n", "item", "irow", "length"]
     width = F.least("n", "length") - (SHINGLE - 1)
     enough = similarity * (width + F.col("length") - (SHINGLE - 1)) / (1 + similarity) - 1e-9
-    same = met.groupBy(*pair, "different", "sh", "times").agg(F.sort_array(F.collect_set("p")).alias("ps"))
-    near = same.groupBy(*pair, "different").agg(F.collect_list(F.struct("times", "ps")).alias("each"))
-    near = near.where(F.size("each") >= similarity * F.col("different")).select(*pair, F.inline("each"))
+    same = met.groupBy(*pair, "sh", "times").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    near = same.groupBy(*pair).agg(F.collect_list(F.struct("times", "ps")).alias("each"), F.sum(F.least(F.size("ps"), "times")).alias("most"))
+    near = near.where(F.col("most") >= enough).select(*pair, F.inline("each"))  # no window shares more than its document
     first = lambda p, i: F.greatest(F.lit(0), p - width + 1, F.get("ps", i - F.col("times")) + 1)
     ends = F.transform("ps", lambda p, i: F.struct(first(p, i).alias("a"), (F.least(p, F.greatest(F.lit(0), F.col("n") - F.col("length"))) + 1).alias("z")))
     ends = near.select(*pair, F.inline(ends)).where("a < z").select(*pair, F.inline(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("z").alias("at"), F.lit(-1).alias("d")))))
@@ -102,8 +102,8 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str
     it = it.select("item", F.size("iw").alias("length"), shingles(F.col("iw")).alias("ish")).distinct()
     it = materialise(it.withColumns({"irow": F.xxhash64("ish"), "iplain": plain(F.col("ish")), "fp": simhash(F.col("ish"))}))
     size = it.agg(F.sum(F.size("ish"))).first()[0] or 0
-    known = it.select("item", "irow", "length", F.size(F.array_distinct("ish")).alias("different"), F.explode("ish").alias("sh"))
-    known = known.groupBy("item", "irow", "length", "different", "sh").agg(F.count("*").cast("int").alias("times"))
+    known = it.select("item", "irow", "length", F.explode("ish").alias("sh"))
+    known = known.groupBy("item", "irow", "length", "sh").agg(F.count("*").cast("int").alias("times"))
     known = F.broadcast(known) if size <= BROADCAST else known
 
     at = d.where(F.size("w") >= SHINGLE).select("doc", "row", "w", F.explode(F.sequence(F.lit(0), F.size("w") - SHINGLE)).alias("p"))

@@ -244,6 +244,18 @@ def test_leaks_reordered(spark):
     assert got[0, 0] == (round(92 / 100, 9), 80, 100)
 
 
+def test_leaks_repeated(spark):
+    rng = random.Random(11)
+    say = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    refrain, run = say(7) * 6 + say(18), ["r"] * 64 + say(40)
+    spoilt = say(100)
+    items = [(i, " ".join(w)) for i, w in enumerate([refrain, run, spoilt])]
+    inside = lambda w: " ".join([*say(80), *w, *say(80)])
+    docs = [(0, inside(refrain[:54])), (1, " ".join(refrain[:52])), (2, inside(run[:93])), (3, inside([*spoilt[:90], *["r"] * 20]))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute.leaks(docs, items) and {(0, 0), (1, 0), (2, 1)} <= got
+
+
 def test_simhash(spark):
     h = [3, -1, 7, 7, 1 << 62]
     df = spark.createDataFrame([(h,)], "sh array<long>").select(decontaminate.simhash(F.col("sh")).alias("x"))
