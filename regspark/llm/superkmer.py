@@ -17,7 +17,10 @@ A hot minimiser costs one row per map task in step 1 and one string per
 different content in step 2. Where there are over HOT of these, they are cut
 once more: windows with the minimiser at nearly the same place in them share a
 longer core, and the cores are buckets of their own. Equal pieces are summed up
-before they meet, so no task gets all strings of a hot minimiser.
+before they meet. At the edges of a shared passage pieces have the same core and
+another content in each document; a core with over HOT contents is cut down to
+single windows, which are their own keys and are counted, combined before the
+shuffle. So no task gets all strings of a hot minimiser or of a hot core.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textkit as t
 from .common import map_arrow, materialise
 
-#: Strings of one minimiser beyond which they are cut once more, and windows in such a piece.
+#: Strings of one minimiser or core beyond which they are cut once more, and windows in such a piece.
 HOT, PIECE = 500, 8
 #: Bytes of strings that are sorted together.
 SORTED = 1 << 20
@@ -277,17 +280,46 @@ def _pieces(sym: Symbols):
     return run
 
 
+def _windows(sym: Symbols):
+    """Each window of the strings with its 128-bit key."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of, off, one, two = windows_of(sym, b.column("packed"), b.column("n").to_numpy())
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("mini", "body", "doc", "many")), pa.array(off.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["mini", "body", "doc", "many", "a", "one", "two"])
+
+    return run
+
+
+def _judge_windows(strings: DataFrame, sym: Symbols, rule: str) -> DataFrame:
+    """Verdicts (mini, body, a, z), a row for each repeated window; equal windows are summed up before they meet."""
+    windows = materialise(map_arrow(strings.select("mini", "body", "doc", "many", "n", "packed"), _windows(sym), "mini long, body long, doc long, many boolean, a int, one long, two long"))
+    sums = windows.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("times"), F.bool_or("many").alias("any"))
+    sums = materialise(sums.where(F.col("least") < F.col("most") if rule == "earlier" else F.col("any") | (F.col("times") > 1)))
+    hit = windows.join(sums.select("one", "two", "least"), ["one", "two"])
+    hit = hit.where(F.col("doc") > F.col("least")) if rule == "earlier" else hit
+    return hit.select("mini", "body", "a", (F.col("a") + 1).alias("z"))
+
+
 def _judge_hot(strings: DataFrame, sym: Symbols, rule: str) -> DataFrame:
     """Verdicts (mini, body, a, z) over strings of hot minimisers, by way of their pieces."""
     pieces = materialise(map_arrow(strings, _pieces(sym), "mini long, body long, doc long, many boolean, base long, n int, key long, part long, packed binary"))
     one = pieces.groupBy("key", "part").agg(F.min("doc").alias("least"), F.count("*").alias("times"), F.bool_or("many").alias("any"), F.max("n").alias("n"), F.max("packed").alias("packed"))
     one = materialise(one)
     asked = one.select(F.col("key").alias("mini"), F.col("part").alias("body"), (F.col("any") | (F.col("times") > 1)).alias("many"), F.lit(True).alias("hot"), "n", F.col("least").alias("doc"), "packed")
-    dealt = asked.repartition("mini").sortWithinPartitions("mini")
-    found = map_arrow(dealt, _judge_sorted(sym, rule), "mini long, body long, a int, z int").select(F.col("mini").alias("key"), F.col("body").alias("part"), "a", "z")
+    # a table of its own, so that a key of many contents can be split in the joins with it
+    big = materialise(one.groupBy(F.col("key").alias("mini")).agg(F.count("*").alias("contents")).where(F.col("contents") > HOT).select("mini"))
+    dealt = asked.join(big, "mini", "left_anti").repartition("mini").sortWithinPartitions("mini")
+    found = map_arrow(dealt, _judge_sorted(sym, rule), "mini long, body long, a int, z int")
+    if not big.isEmpty():
+        found = found.unionByName(_judge_windows(asked.join(big, "mini", "left_semi"), sym, rule))
+    found = found.select(F.col("mini").alias("key"), F.col("body").alias("part"), "a", "z")
     known = pieces.drop("packed").join(one.select("key", "part", "least", "times"), ["key", "part"])
     whole = F.col("doc") > F.col("least") if rule == "earlier" else F.col("times") > 1
-    known = known.withColumn("whole", whole)
+    known = materialise(known.withColumn("whole", whole))  # else the next join keeps a common piece's rows in one task
     all_of = known.where("whole").select("mini", "body", F.col("base").alias("a"), (F.col("base") + F.col("n")).alias("z"))
     some = known.where("not whole").join(found, ["key", "part"]).select("mini", "body", (F.col("base") + F.col("a")).alias("a"), (F.col("base") + F.col("z")).alias("z"))
     return all_of.unionByName(some).select("mini", "body", F.col("a").cast("int").alias("a"), F.col("z").cast("int").alias("z"))

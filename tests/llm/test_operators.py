@@ -50,6 +50,43 @@ def test_suffix(odd, monkeypatch):
     assert got == want
 
 
+def test_hot_core_is_split(spark, monkeypatch):
+    """One passage between other words in every document: no task gets over HOT strings of a key."""
+    from regspark.llm import superkmer
+
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passage = say(80)
+    rows = [(i, f"{say(30)} {passage} {say(30)}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    judge, most = superkmer._judge_sorted, 10
+
+    def watched(sym, rule):
+        inner = judge(sym, rule)
+
+        def run(batches):
+            seen = {}
+
+            def each():
+                for b in batches:
+                    for m in b.column("mini").to_pylist():
+                        seen[m] = seen.get(m, 0) + 1
+                        if seen[m] > most:
+                            raise ValueError("all strings of a key in one task")
+                    yield b
+
+            yield from inner(each())
+
+        return run
+
+    monkeypatch.setattr(superkmer, "HOT", most)
+    monkeypatch.setattr(superkmer, "_judge_sorted", watched)
+    got = {r.doc: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == brute.substring(rows) and sum(x[1] > 0 for x in got.values()) == 39
+    got = {r.doc: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == brute.byte_repeats(rows)
+
+
 def test_suffix_array(monkeypatch):
     rng = np.random.default_rng(1)
     for trial in range(120):
