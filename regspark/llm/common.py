@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -48,10 +49,28 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    """Returns what this worker has freed to the system, as workers wait for further tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     """mapInArrow in batches of few rows, as the rows hold whole texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def crc_mod(col: str, n: int):

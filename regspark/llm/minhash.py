@@ -4,21 +4,26 @@ A document's set has the distinct runs of `SHINGLE` words (A-Z lower-cased);
 with fewer words, the whole sequence as one. Texts without words have an empty
 set and link with nothing.
 
-1. Rows with equal sets form a class; its smallest id stands for it from here.
-2. Each class gets BANDS * ROWS minima and one hash for each band of ROWS. Band
-   buckets tie their members to their smallest one, so candidates need no pairs;
-   components of these ties ("pools") hold every pair that shares a band.
-3. In a pool, a search from document to document uses packed low bits of the
-   minima: bits counted equal, corrected for chance, screen out what is
-   `SLACK` standard deviations below the limit, and full sets confirm the rest.
-   Only documents not reached yet are compared, so copies of one text cost one
-   confirmation each. Pools over BLOCK classes are searched in blocks that share
-   a few central documents; what a block left apart from the pool's largest
-   component is then searched against all blocks.
-4. Components of confirmed links, carried back to all rows of a class.
-
-Rows without an id are left out; rows that share an id count as one row each.
-Other columns are not read.
+1. Rows with equal sets form a class, a node of the graph.
+2. Each class gets BANDS * ROWS minima and one hash for each band of ROWS; those
+   that share a band's hash are a bucket, and candidates for each other.
+3. Every member of a bucket is compared with the bucket's smallest one, its hub:
+   packed low bits of the minima, counted equal and corrected for chance, screen
+   out what is SLACK standard deviations below the limit, full sets confirm the
+   rest. Links so far are joined into components, so most copies are settled by
+   one comparison for each different hub.
+4. Pairs without the hub are only open in buckets whose members are of several
+   components; buckets with the same members are taken once. Each is searched
+   whole, comparing only what is not joined yet. A bucket of over ROOM is cut
+   into cells by set size (sets whose sizes differ by more than the limit can't
+   link) and by hash; each two cells that can have links are a task of their
+   own, so no task holds more than two cells, whatever the bucket's size.
+5. Components of confirmed links, carried back to all rows of a class.
+
+Rows without an id are left out. Rows that share an id are one row each in the
+result, and links of either text count. Ties: a component's smallest id names
+it. Very long texts take memory in proportion to one text. An empty table gives
+an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,15 +38,19 @@ from pyspark.sql import functions as F
 from . import textkit as t
 from .common import map_arrow, materialise
 from .graph import components
-from .superkmer import pack_texts, unpacked
+from .superkmer import packed_rows, signed, unpacked, with_row
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 #: Low bits of each minimum that are kept.
 LOW = 4
 SLACK = 6.0
-#: Classes of a pool that one task searches; documents that all blocks of a larger pool share.
-BLOCK, SHARED = 3000, 16
+#: Shingles of a cell, and what a document counts besides its own.
+ROOM, EACH = 1 << 20, 300
+#: Bytes of text that are signed together; there are BANDS * ROWS products of each shingle at a time.
+SIGNED = 1 << 18
+#: Sets of hubs that a task keeps, in shingles.
+KEPT = 1 << 20
 
 _N = BANDS * ROWS
 _MULTIPLIERS = t.mix(np.arange(1, _N // 2 + 1, dtype=t.U) * t.U(0xD1342543DE82EF95)) | t.U(1)
@@ -50,12 +59,12 @@ _MULTIPLIERS = t.mix(np.arange(1, _N // 2 + 1, dtype=t.U) * t.U(0xD1342543DE82EF
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE):
     """A hash for each shingle, repeated ones too, and the documents' bounds among them."""
     s, e, bounds = t.words(buf, offs)
-    pre = t.prefix(t.word_hashes(t.LOWER[buf], s, e))
+    h = t.word_hashes(t.LOWER[buf], s, e)
     c = np.diff(bounds)
     short = bounds[:-1][(c > 0) & (c < k)]
     start = np.sort(np.concatenate([t.window_starts(bounds, k), short]))
     end = np.minimum(start + k, bounds[np.searchsorted(bounds, start, "right")])
-    return t.slices(pre, start, end), np.searchsorted(start, bounds)
+    return t.run_hashes(h, start, end), np.searchsorted(start, bounds)
 
 
 def sets(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -104,123 +113,187 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def search(packed: np.ndarray, full: list[np.ndarray], labels: np.ndarray, active: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join what can be joined; labels: already joined. Only pairs with an active side are compared."""
+def search(packed: np.ndarray, full: list[np.ndarray], labels: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join what can be joined; labels: already joined. Only pairs of different sides are compared, unless there is one side."""
     size = np.array([len(x) for x in full])
-    p = percent / 100
-    least = p - SLACK * math.sqrt(p * (1 - p) / _N) / (1 - 2.0**-LOW)
+    least = least_estimate(percent)
     label, links = labels.copy(), []
-    done = np.zeros(len(full), bool)
-    queue: list[int] = []
-    for root in np.flatnonzero(active).tolist():
-        queue.append(root)
-        while queue:
-            u = queue.pop()
-            if done[u]:
-                continue
-            done[u] = True
-            rest = (label != label[u]) & (100 * np.minimum(size, size[u]) >= percent * np.maximum(size, size[u]))
-            if not active[u]:
-                rest &= active
-            at = np.flatnonzero(rest)
-            if not len(at):
-                continue
-            at = at[estimate(packed[at], packed[u]) >= least]
-            for v in at.tolist():
-                if label[v] != label[u] and alike(full[u], full[v], percent):
-                    links.append((u, v))
-                    label[label == label[v]] = label[u]
-                    if not done[v]:
-                        queue.append(v)
+    one = bool((side == side[0]).all())
+    for u in range(len(full)):
+        if not one and side[u]:
+            continue
+        rest = (label != label[u]) & (100 * np.minimum(size, size[u]) >= percent * np.maximum(size, size[u]))
+        if one:
+            rest[:u] = False
+        else:
+            rest &= side != side[u]
+        at = np.flatnonzero(rest)
+        if not len(at):
+            continue
+        at = at[estimate(packed[at], packed[u]) >= least]
+        for v in at.tolist():
+            if label[v] != label[u] and alike(full[u], full[v], percent):
+                links.append((u, v))
+                label[label == label[v]] = label[u]
     return links
 
 
-def _searcher(percent: int):
-    def flush(rows: list[dict]):
-        docs = pa.array([r["z"] for r in rows], pa.binary())
-        full: list[np.ndarray] = []
-        for _, texts in unpacked(docs):
-            for _, _, buf, offs in t.chunks(texts):
-                full += sets(*shingles(buf, offs))
-        packed = np.frombuffer(b"".join(r["packed"] for r in rows), np.uint8).reshape(len(rows), -1).view(t.U)
-        names = {}
-        labels = np.array([names.setdefault(r["label"], len(names)) for r in rows])
-        got = search(packed, full, labels, np.array([r["active"] for r in rows]), percent)
-        ids = [r["doc"] for r in rows]
-        return [ids[u] for u, _ in got], [ids[v] for _, v in got]
+def least_estimate(percent: int) -> float:
+    p = percent / 100
+    return p - SLACK * math.sqrt(p * (1 - p) / _N) / (1 - 2.0**-LOW)
+
+
+def _sets_of(col: pa.Array) -> list[np.ndarray]:
+    full: list[np.ndarray] = []
+    for _, texts in unpacked(col):
+        for _, _, buf, offs in t.chunks(texts):
+            full += sets(*shingles(buf, offs))
+    return full
+
+
+def _words(col: pa.Array) -> np.ndarray:
+    """Packed low bits as rows of 64-bit words."""
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1).view(t.U)
+
+
+def _sign(batches):
+    for b in batches:
+        for i, j, buf, offs in t.chunks(b.column(2), SIGNED):
+            n, dig, full, bands, packed = signatures(*shingles(buf, offs))
+            has = np.zeros(j - i, np.int64)
+            has[full] = 1
+            ends = np.concatenate([[0], np.cumsum(has)])
+            lists = pa.ListArray.from_arrays(pa.array((ends * BANDS).astype(np.int32)), signed(bands.ravel()))
+            low = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((ends * (_N // 2)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(packed))])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n), *(signed(x) for x in dig), lists, low], ["doc", "row", "n", "d1", "d2", "bands", "packed"])
+
+
+def _screen(percent: int):
+    least = least_estimate(percent)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                one, two = (_words(b.column(c)) for c in (2, 3))
+                yield b.select([0, 1]).filter(pa.array(estimate(one, two) >= least))
 
+    return run
+
+
+def _confirm(percent: int):
     def run(batches):
-        key, held = None, []
-        for b in batches:  # sorted by pool and block
-            for r in b.to_pylist():
-                if (r["pool"], r["block"]) != key and held:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flush(held)], ["a", "b"])
-                    held = []
-                key = (r["pool"], r["block"])
-                held.append(r)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flush(held)], ["a", "b"])
+        kept, size = {}, 0
+        for b in batches:
+            ids = b.column(1).to_pylist()
+            good = []
+            for first, texts in unpacked(b.column(2)):
+                for i, _, buf, offs in t.chunks(texts):
+                    for k, own in enumerate(sets(*shingles(buf, offs))):
+                        at = first + i + k
+                        if ids[at] not in kept:
+                            if size > KEPT:
+                                kept, size = {}, 0
+                            kept[ids[at]] = _sets_of(b.column(3).slice(at, 1))[0]
+                            size += len(kept[ids[at]])
+                        good.append(alike(own, kept[ids[at]], percent))
+            if good:
+                yield b.select([0, 1]).filter(pa.array(good))
 
     return run
 
 
-def _blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: pool, block, doc, label, active, packed, z. Confirmed links a, b."""
-    dealt = rows.select("pool", "block", "doc", "label", "active", "packed", "z").repartition("pool", "block").sortWithinPartitions("pool", "block", "doc")
-    return map_arrow(dealt, _searcher(percent), "a long, b long")
+def _searcher(percent: int):
+    key_names = ["band", "task"]
 
+    def flush(rows: pa.Table):
+        rows = rows.combine_chunks()
+        full = _sets_of(rows["z"].combine_chunks())
+        label, side, node = (rows[c].to_numpy() for c in ("label", "side", "node"))
+        got = np.array(search(_words(rows["packed"].combine_chunks()), full, label, side, percent), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[got[:, 0]]), pa.array(node[got[:, 1]])], ["a", "b"])
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """id, n_shingles, component_id and kept of each row with an id; links have at least `percent` of the union in common."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
+    def run(batches):
+        held = None
+        for b in batches:  # sorted by band and task
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if not rows.num_rows:
+                continue
+            keys = np.stack([rows[c].to_numpy() for c in key_names])
+            cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1])
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield flush(rows.slice(x, y - x))
+            held = rows.slice(int(cuts[-1]))
+        if held is not None and held.num_rows:
+            yield flush(held)
 
-    def sign(batches):
-        for b in batches:
-            for i, j, buf, offs in t.chunks(b.column(1)):
-                n, dig, full, bands, packed = signatures(*shingles(buf, offs))
-                rows = np.full(j - i, -1)
-                rows[full] = np.arange(len(full))
-                per = lambda x, kind: pa.array([None if k < 0 else x[k] for k in rows], kind)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), *(pa.array(x.view(np.int64)) for x in dig), per(bands.view(np.int64), pa.list_(pa.int64())), per([x.tobytes() for x in packed], pa.binary())], ["doc", "n", "d1", "d2", "bands", "packed"])
-
-    signed = materialise(map_arrow(d, sign, "doc long, n long, d1 long, d2 long, bands array<long>, packed binary"))
-    # a table of its own, so that a class of many rows can be split in the joins with it
-    classes = materialise(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep")))
-    member = signed.select("doc", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
-    reps = signed.join(classes, (signed.doc == classes.rep) & (signed.d1 == classes.d1) & (signed.d2 == classes.d2)).select("doc", "bands", "packed")
-
-    band = reps.select("doc", F.explode("bands").alias("band"))
-    hubs = band.groupBy("band").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    ties = materialise(band.join(hubs, "band").select(F.col("doc").alias("a"), F.col("hub").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("bands")))
-    pool = components(ties.select("a", "b")).select(F.col("node").alias("doc"), F.col("component").alias("pool"))
-    pool = materialise(pool.join(pool.groupBy("pool").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "pool"))
-    rows = pool.join(reps.select("doc", "packed"), "doc").join(pack_texts(d, "doc", "text"), "doc")
-    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc"), F.col("blocks"))).otherwise(F.lit(0))
-    rows = rows.withColumn("block", block)
-    few = rows.where("blocks = 1").withColumns({"label": F.col("doc"), "active": F.lit(True)})
-    links = _blocks(few, percent)
-    if not pool.where("blocks > 1").isEmpty():  # central documents: the ends of most ties
-        big = materialise(rows.where("blocks > 1"))
-        central = ties.groupBy(F.col("b").alias("doc")).agg(F.count("*").alias("ends")).join(big.select("doc", "pool", "blocks"), "doc")
-        spread = _most(central).select("doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
-        shared = big.join(spread, "doc").where("block <> to").withColumn("block", F.col("to")).drop("to")
-        first = materialise(_blocks(big.unionByName(shared).withColumns({"label": F.col("doc"), "active": F.lit(True)}), percent))
-        label = components(first).select(F.col("node").alias("doc"), F.col("component").alias("label"))
-        named = materialise(big.select("doc", "pool", "block", "blocks").join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc")))
-        size = named.groupBy("pool", "label").agg(F.count("*").alias("n"))
-        giant = size.groupBy("pool").agg(F.max(F.struct("n", "label")).alias("g")).select("pool", F.col("g.label").alias("giant"))
-        named = named.join(giant, "pool").withColumn("active", F.col("label") != F.col("giant")).drop("giant")
-        away = named.where("active").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> to").withColumn("block", F.col("to")).drop("to")
-        again = named.unionByName(away).select("doc", "pool", "block", "label", "active").join(big.select("doc", "packed", "z"), "doc")
-        links = links.unionByName(first).unionByName(_blocks(again, percent))
-    comp = components(links).select(F.col("node").alias("rep"), "component")
-    out = member.join(comp, "rep", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return run
 
 
-def _most(central: DataFrame) -> DataFrame:
-    """The SHARED documents of each pool with most tie ends."""
-    from pyspark.sql import Window
+def _hub_links(band: DataFrame, sig: DataFrame, texts, percent: int):
+    """hubs (band, hub, size) of buckets with several members, and links of members with their hubs."""
+    hubs = materialise(band.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1"))
+    ties = band.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
+    s = lambda x: sig.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("packed").alias(f"p{x}"))
+    near = ties.join(s("a"), "a").join(s("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near = materialise(map_arrow(near.select("a", "b", "pa", "pb"), _screen(percent), "a long, b long"))
+    z = lambda x: texts.select(F.col("node").alias(x), F.col("z").alias(f"z{x}"))
+    pairs = near.join(z("a"), "a").join(z("b"), "b").select("a", "b", "za", "zb")
+    return hubs, materialise(map_arrow(pairs, _confirm(percent), "a long, b long"))
+
+
+def _open_buckets(band: DataFrame, hubs: DataFrame, sig: DataFrame, label: DataFrame) -> DataFrame:
+    """band, node, n, label and room (the bucket's) of members besides the hub, where they are of several components."""
+    rows = band.join(hubs.where("size > 2"), "band").where("node <> hub").select("band", "node").join(sig.select("node", "n"), "node")
+    rows = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    digest = F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40)))
+    kinds = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), digest.alias("digest"), F.sum(F.col("n") + EACH).alias("room")).where("lo <> hi")
+    once = kinds.groupBy("digest", "members").agg(F.min("band").alias("band"), F.max("room").alias("room")).select("band", "room")
+    return rows.join(once, "band")
+
+
+def _cells(rows: DataFrame, percent: int) -> DataFrame:
+    """One row for each task a member of a large bucket has a part in: task (a hash) and side."""
+    rows = rows.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
+    cell = materialise(rows.groupBy("band", "c").agg(F.ceil(F.sum(F.col("n") + EACH) / ROOM).cast("int").alias("parts")))
+    near = rows.select("band", "c").distinct().withColumn("c2", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    near = near.join(cell.select("band", F.col("c").alias("c2"), F.col("parts").alias("parts2")), ["band", "c2"])
+    own = rows.join(cell, ["band", "c"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    sent = own.join(near, ["band", "c"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
+    mine, other = F.struct("c", "i"), F.struct(F.col("c2").alias("c"), F.col("j").alias("i"))
+    sent = sent.withColumns({"lo": F.least(mine, other), "hi": F.greatest(mine, other)})
+    return sent.select("band", F.xxhash64("lo", "hi").alias("task"), "node", "label", F.when(mine == F.col("lo"), 0).otherwise(1).alias("side"))
 
-    w = Window.partitionBy("pool").orderBy(F.desc("ends"), "doc")
-    return central.withColumn("r", F.row_number().over(w)).where(f"r <= {SHARED}").drop("r")
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """id, n_shingles, component_id and kept of each row with an id; links have at least `percent` of the union in common."""
+    d = with_row(docs, id_col, text_col)
+    rows = materialise(map_arrow(d, _sign, "doc long, row long, n long, d1 long, d2 long, bands array<long>, packed binary"))
+    # a node is the 64-bit digest of a class; classes are by 128 bits
+    nodes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "row")).alias("w"))
+    nodes = materialise(nodes.select(F.col("d1").alias("node"), "d2", F.col("w.doc").alias("doc"), F.col("w.row").alias("row")))
+    sig = rows.join(nodes, ["doc", "row"]).where("d1 = node").dropDuplicates(["node"]).select("node", "n", "bands", "packed")
+    sig = materialise(sig)
+    band = sig.select("node", F.explode("bands").alias("band"))
+    tied = band.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+    band = materialise(band.join(tied, "band", "left_semi"))
+    some = nodes.join(band.select("node").distinct(), "node").select("doc", "row", "node")
+    texts = materialise(packed_rows(d, "text", ["doc", "row"]).join(some, ["doc", "row"]).dropDuplicates(["node"]).select("node", "z"))
+
+    hubs, links = _hub_links(band, sig, texts, percent)
+    comp = components(links)
+    left = materialise(_open_buckets(band, hubs, sig, comp.select("node", F.col("component").alias("label"))))
+    if not left.isEmpty():
+        few = left.where(F.col("room") <= ROOM).select("band", F.lit(0).cast("long").alias("task"), "node", "label", F.lit(0).alias("side"))
+        parts = few.unionByName(_cells(left.where(F.col("room") > ROOM), percent))
+        parts = parts.join(sig.select("node", "packed"), "node").join(texts, "node").select("band", "task", "node", "label", "side", "packed", "z")
+        dealt = parts.repartition("band", "task").sortWithinPartitions("band", "task", "node")
+        more = materialise(map_arrow(dealt, _searcher(percent), "a long, b long"))
+        if not more.isEmpty():
+            comp = components(links.unionByName(more))
+
+    least = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc")
+    name = least.groupBy("component").agg(F.min("doc").alias("name"))
+    named = least.groupBy("node", "component").agg(F.min("doc").alias("doc")).join(name, "component").select(F.col("node").alias("d1"), "name")
+    out = rows.select("doc", "n", F.when(F.col("n") > 0, F.col("d1")).alias("d1")).join(named, "d1", "left")
+    out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "doc").alias("component_id"))
+    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))

@@ -7,6 +7,7 @@ over it have eight bytes for each byte of text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,12 @@ def prefix(symbols: np.ndarray) -> np.ndarray:
 
 
 def slices(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of symbols[start:end]; equal slices have equal hashes."""
+    """Sums of symbols[start:end] by powers modulo 2^64; equal slices have equal sums.
+
+    Unequal slices can be built that have the same sum, so these serve only to
+    spread features and names; what is called equal is told by `word_hashes`,
+    `in_a_row` and `run_hashes`.
+    """
     return mix((pre[end] - pre[start]) * powers(len(pre))[1][start])
 
 
@@ -95,8 +101,66 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return runs(~SEPARATOR[buf], offs)
 
 
-def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return slices(prefix(BYTE[buf]), start, end) if len(start) else np.zeros(0, U)
+#: Masks that leave the first so many bytes of eight, and the length beyond which a slice is hashed by the library.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+LONG = 1024
+
+
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros after the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each slice of bytes: eight bytes a step, and all bits are mixed in each step."""
+    size = end - start
+    h = mix(size.astype(U) + U((1 + seed) * _P % (1 << 64)))
+    if not len(h):
+        return h
+    eight = lanes(buf)
+    live = np.flatnonzero(size <= LONG) if int(size.max()) > LONG else None
+    at, left = (start, size) if live is None else (start[live], size[live])
+    while len(at):
+        x = eight[at] & _FIRST[np.minimum(left, 8)]
+        if live is None:
+            h = mix(h ^ x)
+        else:
+            h[live] = mix(h[live] ^ x)
+        more = np.flatnonzero(left > 8)
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    if len(long := np.flatnonzero(size > LONG)):
+        raw = buf.tobytes()
+        h[long] = [int.from_bytes(hashlib.blake2b(raw[a:z], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little") for a, z in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return h
+
+
+def in_a_row(x: np.ndarray, k: int, size: int = 1, also: int = 0):
+    """A hash of every k symbols in a row, from hashes x of every `size` in a row; and of every `also` (a step on the way).
+
+    Spans are doubled; the last two overlap. All bits are mixed in each step, so
+    no sum of symbols can cancel.
+    """
+    other = x if size == also else None
+    while 2 * size <= k:
+        x = mix(x[:-size] * U(_P) + x[size:])
+        size *= 2
+        other = x if size == also else other
+    if size < k:
+        x = mix((x[: len(x) - (k - size)] * U(_P) ^ U(k)) + x[k - size :])
+    return x, other
+
+
+def run_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each short run of symbols, one symbol a step."""
+    n = end - start
+    out = mix(n.astype(U) * U(_P))
+    for j in range(int(n.max(initial=0))):
+        live = np.flatnonzero(n > j)
+        out[live] = mix(out[live] * U(_P) + h[start[live] + j])
+    return out
 
 
 def owner(bounds: np.ndarray) -> np.ndarray:

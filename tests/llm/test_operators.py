@@ -38,7 +38,7 @@ def test_substring(odd):
     got = {r.doc: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(odd).collect()}
     assert got == want and any(x[1] for x in want.values())
     same = {r.doc: r.kept for r in substring_dedup.remove_repeats(odd, as_it_is=True).collect()}
-    assert all(same[i] == (x or "") for i, x in pairs(odd) if not want[i][1])
+    assert all(same[i] == x for i, x in pairs(odd) if not want[i][1])
 
 
 def test_suffix(odd, monkeypatch):
@@ -87,39 +87,142 @@ def test_hot_core_is_split(spark, monkeypatch):
     assert got == brute.byte_repeats(rows)
 
 
-def test_suffix_array(monkeypatch):
+@pytest.mark.parametrize("held", [None, 5])
+def test_suffix_array(held, monkeypatch):
+    """Order and common prefixes; with recursion to the end, and with queues that hold five tuples in memory."""
     rng = np.random.default_rng(1)
-    for trial in range(120):
-        if trial == 60:
-            monkeypatch.setattr(induced, "HELD", 5)
-            monkeypatch.setattr(induced, "NAMES", 3)
-        x = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(1, 60)), 0)
-        assert induced.suffix_array(x, 6).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
-
-
-@pytest.mark.parametrize("block", [3000, 3])
-def test_near(odd, block, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "SHARED", 1)
+    if held:
+        monkeypatch.setattr(induced, "HELD", held)
+        monkeypatch.setattr(induced, "BLOCK", 3)
+        monkeypatch.setattr(induced, "MAPPED", 64)
+    spills = 0
+    for trial in range(150):
+        monkeypatch.setattr(induced, "SMALL", 0 if trial % 2 else 1 << 20)
+        k = int(rng.integers(2, 9))
+        x = rng.integers(1, k, rng.integers(1, 60))
+        x = np.append(np.tile(x, 3) if trial % 3 == 0 else x, 0)
+        disk = induced.Disk()
+        at, common = (np.concatenate(c).tolist() for c in zip(*induced._descending(x, k + 1, disk), strict=True))
+        spills += disk.spills
+        want = sorted(range(len(x)), key=lambda i: x[i:].tolist(), reverse=True)
+        shared = lambda a, b: next(i for i in range(len(x)) if x[a + i] != x[b + i])  # noqa: E731, B023
+        assert at == want and common == [0, *(shared(a, b) for a, b in itertools.pairwise(want))]
+    assert bool(spills) == bool(held)
+
+
+def test_suffixes_beyond_memory(monkeypatch):
+    """A shard with many times the tuples that are held in memory."""
+    monkeypatch.setattr(induced, "HELD", 4096)
+    monkeypatch.setattr(induced, "BLOCK", 1024)
+    monkeypatch.setattr(induced, "SMALL", 2000)
+    monkeypatch.setattr(induced, "MAPPED", 1 << 16)
+    rng = random.Random(4)
+    base = bytes(rng.choice(b"abcd ") for _ in range(3000))
+    strings = [base[a : a + rng.randrange(50, 367)] for a in (rng.randrange(2500) for _ in range(500))]
+    buf, offs = np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in strings])])
+    disk = induced.Disk()
+    at, common = (np.concatenate(c).tolist() for c in zip(*induced.suffixes(buf, offs, disk), strict=True))
+    assert disk.spills > 20 and sorted(at) == list(range(len(buf))) and len(buf) > 20 * induced.HELD
+    of = np.searchsorted(offs, at, "right") - 1
+    rest = [strings[s][a - offs[s] :] for s, a in zip(of, at, strict=True)]
+    for x, y, c in zip(rest, rest[1:], common[1:], strict=False):
+        n = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        assert x >= y and (c == n or n == min(len(x), len(y)) <= c)
+
+
+def test_repeats_come_from_the_sort(spark, monkeypatch):
+    """Without the common prefixes that the sort brings, nothing that is repeated in part is found."""
+    from regspark.llm import superkmer
+
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passage = say(80)
+    rows = [(i, f"{say(30)} {passage} {say(30)}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.byte_repeats(rows)
+    told = lambda: {r.doc: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert told() == want
+    honest = superkmer._sorted_bytes
+    monkeypatch.setattr(superkmer, "_sorted_bytes", lambda *x: (lambda of, off, new: (of, off, np.ones_like(new)))(*honest(*x)))
+    assert told() != want
+
+
+THUE = "a"
+while len(THUE) < 1024:
+    THUE += THUE.translate(str.maketrans("ab", "ba"))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_apart(spark):
+    """Words and texts that any sum of powers modulo 2^64 takes for each other."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    left, right = say(30), say(30)
+    rows = [(1, f"{left} {THUE} {right}"), (2, f"{left} {MORSE} {right}"), (3, " ".join(THUE)), (4, " ".join(MORSE)), (5, THUE), (6, MORSE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == brute.substring(rows)
+    got = {r.doc: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == brute.byte_repeats(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute.near(rows, 85)
+    want = brute.lm_base(rows)
+    for r in lm.score(docs, queries.crc_mod("doc_id", 7) != 2).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.base_score == pytest.approx(want[r.doc_id][3], abs=1e-6)
+
+
+@pytest.mark.parametrize("room", [minhash.ROOM, 700])
+def test_near(odd, room, monkeypatch):
+    monkeypatch.setattr(minhash, "ROOM", room)
     want = brute.near(pairs(odd), 85)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(odd, percent=85).collect()}
     assert got == want and len({x[1] for x in want.values()}) < len(want)
 
 
-def test_search_matches_all_pairs():
+@pytest.mark.parametrize("room", [minhash.ROOM, 1500])
+def test_near_families(spark, room, monkeypatch):
+    """Chains of copies and families that share much but do not link, so buckets stay open after their hubs."""
+    monkeypatch.setattr(minhash, "ROOM", room)
+    rng = random.Random(21)
+    common = [f"c{i}" for i in range(150)]
+    rows = []
+    for f in range(12):
+        words = [*common, *(f"f{f}_{i}" for i in range(30))]
+        for _ in range(6):
+            words = list(words)
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows) * 2, " ".join(words)))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=85).collect()}
+    assert got == brute.near(rows, 85)
+
+
+def test_near_shared_ids(spark):
+    """Two texts with one id: links of either count."""
+    rng = random.Random(22)
+    a, b = (" ".join(f"v{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(7, a), (7, b), (7, b), (9, a + " more"), (3, b + " more"), (11, "alone here")]
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect())
+    assert got == [(3, 3), (7, 3), (7, 3), (7, 7), (9, 7), (11, 11)]
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_search_matches_all_pairs(sides):
     rng = np.random.default_rng(2)
     for _ in range(20):
         base = rng.integers(0, 2**60, 200).astype(np.uint64)
         sets = [np.unique(np.where(rng.random(200) < rng.choice([0.02, 0.08, 0.2]), rng.integers(0, 2**60, 200).astype(np.uint64), base)) for _ in range(25)]
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
         packed = minhash.signatures(np.concatenate(sets), bounds)[4].copy().view(np.uint64)
-        links = minhash.search(packed, sets, np.arange(25), np.ones(25, bool), 85)
+        side = np.arange(25) % sides
+        links = minhash.search(packed, sets, np.arange(25), side, 85)
         top = list(range(25))
         find = lambda i: i if top[i] == i else find(top[i])  # noqa: E731, B023
         for a, b in links:
+            assert sides == 1 or side[a] != side[b]
             top[find(a)] = find(b)
         for a, b in itertools.combinations(range(25), 2):
-            if minhash.alike(sets[a], sets[b], 85):
+            if minhash.alike(sets[a], sets[b], 85) and (sides == 1 or side[a] != side[b]):
                 assert find(a) == find(b)
 
 
