@@ -26,10 +26,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in 50-word windows that an earlier document has go; other texts stay as they are."""
-    kept = substring_dedup.remove_repeats(docs, as_it_is=True).select(F.col("doc").alias("doc_id"), F.col("kept").alias("text"))
-    others = docs.drop("text", "n_chars")
-    cut = kept.join(others, "doc_id").withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """Words in 50-word windows that an earlier document has go; other rows stay as they are, null texts too."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    out = substring_dedup.remove_repeats(docs, as_it_is=True, carry=[*others, "n_chars"])
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("carried.n_chars")).cast(docs.schema["n_chars"].dataType)
+    cut = out.select(*(F.col(f"carried.`{c}`") for c in others), F.col("kept").alias("text"), n_chars.alias("n_chars")).select(docs.columns)
     return cut.unionByName(docs.where("doc_id is null"))
 
 
