@@ -31,12 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples that the queues and lists of a sort hold in memory, and tuples read at a time.
-HELD, BLOCK = 1 << 18, 1 << 16
+HELD, BLOCK = 1 << 19, 1 << 16
 #: Names that are sorted in memory, where the recursion ends.
 SMALL = 1 << 20
 #: Bytes beyond which an array over a text is mapped from a file.
 MAPPED = 1 << 25
-FAR = np.int64(1) << 60
+FAR = (1 << 31) - 1
 
 
 def array(n: int, dtype) -> np.ndarray:
@@ -47,10 +47,10 @@ def array(n: int, dtype) -> np.ndarray:
 
 
 class Disk:
-    """Where lists of tuples go once there are over HELD in memory."""
+    """Where lists of tuples go once there are over HELD in memory. The file starts anew whenever all of it has been read."""
 
     def __init__(self):
-        self.file, self.end, self.held, self.lists, self.spills = None, 0, 0, [], 0
+        self.file, self.end, self.held, self.there, self.lists, self.spills = None, 0, 0, 0, [], 0
 
     def hold(self, n: int) -> None:
         self.held += n
@@ -58,6 +58,8 @@ class Disk:
             return
         if self.file is None:
             self.file = tempfile.TemporaryFile()
+        if not self.there:
+            self.end = 0
         self.file.seek(self.end)
         for x in self.lists:
             for i, part in enumerate(x.parts):
@@ -65,6 +67,7 @@ class Disk:
                     self.file.write(np.ascontiguousarray(part))
                     x.parts[i] = (self.end, part.shape)
                     self.end += part.nbytes
+                    self.there += part.nbytes
         self.held = 0
         self.spills += 1
 
@@ -73,11 +76,13 @@ class Disk:
             self.held -= part.shape[1]
             return part
         self.file.seek(part[0])
-        return np.frombuffer(self.file.read(8 * part[1][0] * part[1][1]), np.int64).reshape(part[1])
+        raw = self.file.read(4 * part[1][0] * part[1][1])
+        self.there -= len(raw)
+        return np.frombuffer(raw, np.int32).reshape(part[1])
 
 
 class Tuples:
-    """Rows of numbers in the order of their coming, taken from either end in parts."""
+    """Rows of 32-bit numbers in the order of their coming, taken from either end in parts."""
 
     def __init__(self, disk: Disk):
         self.disk, self.parts = disk, deque()
@@ -85,7 +90,7 @@ class Tuples:
 
     def add(self, *columns: np.ndarray) -> None:
         for a in range(0, len(columns[0]), BLOCK):
-            self.parts.append(np.stack([c[a : a + BLOCK] for c in columns]))
+            self.parts.append(np.stack([c[a : a + BLOCK] for c in columns]).astype(np.int32))
             self.disk.hold(self.parts[-1].shape[1])
 
     def take(self, last: bool = False) -> np.ndarray | None:
@@ -94,7 +99,7 @@ class Tuples:
         while self.parts and n < BLOCK:
             got.append(self.disk.read(self.parts.pop() if last else self.parts.popleft()))
             n += got[-1].shape[1]
-        return np.concatenate(got[::-1] if last else got, 1) if got else None
+        return np.concatenate(got[::-1] if last else got, 1).astype(np.int64) if got else None
 
     def drain(self, last: bool = False) -> Iterator[np.ndarray]:
         while (x := self.take(last)) is not None:
@@ -202,7 +207,7 @@ def _sweep(text: np.ndarray, small: np.ndarray, size: int, down: bool, seeds: It
         before = symbol(at - 1)
         np.minimum.at(reach, symbol(at), before)
         counts += np.bincount(before, minlength=size)
-    queue, since = Queue(counts, disk), np.full(size, FAR)
+    queue, since = Queue(counts, disk), np.full(size, FAR, np.int64)
     seeds = (x for x in seeds if x.shape[1])
     held = next(seeds, None)
 
@@ -383,7 +388,7 @@ def _seeds(text: np.ndarray, small: np.ndarray, size: int, disk: Disk) -> Tuples
 def _descending(text: np.ndarray, size: int, disk: Disk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Parts of (places, common prefixes with the next greater suffix), from the greatest to the least.
 
-    The text ends with its only 0 and has symbols under size.
+    The text has under 2^31 symbols, all under size, and ends with its only 0.
     """
     if len(text) < 2:
         yield np.zeros(1, np.int64)[: len(text)], np.zeros(1, np.int64)[: len(text)]

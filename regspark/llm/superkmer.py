@@ -36,7 +36,7 @@ from .common import map_arrow, materialise
 #: Strings of one minimiser beyond which they are cut once more.
 HOT = 100
 #: Bytes of strings that are sorted together.
-SORTED = 1 << 21
+SORTED = 1 << 20
 
 
 @dataclass(frozen=True)
