@@ -112,6 +112,18 @@ sums AS (SELECT doc_id, item_id, l, start, sum(ws.c) AS nw, coalesce(sum(least(w
 sim AS (SELECT doc_id, item_id, l, start, (common / (nw + (SELECT sum(c) FROM ic WHERE ic.item_id = sums.item_id) - common))::DOUBLE AS similarity FROM sums)
 SELECT doc_id, item_id, similarity, start::INTEGER AS start, l::INTEGER AS n_words FROM sim WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1""",
+    "op10_suffix_array_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, f, substr(h, 2 * f + 1, 2 * (256 + 199)) AS p FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 199, 0), 256)) AS f FROM d)),
+win AS (SELECT doc_id, f + i AS a, md5(substr(p, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, f, p, unnest(range(0, least(256, length(p) // 2 - 199))) AS i FROM part)),
+hit AS (SELECT doc_id, a, lag(a) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+run AS (SELECT doc_id, a, count(*) FILTER (before IS NULL OR a > before + 200) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM hit),
+span AS (SELECT doc_id, k, min(a) AS x, max(a) + 200 AS z FROM run GROUP BY ALL),
+gap AS (SELECT doc_id, k, x, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) AS f FROM span),
+per AS (SELECT doc_id, sum(z - x) AS gone, count(*) AS n, max(z) AS last, string_agg(substr(h, 2 * f + 1, 2 * (x - f)), '' ORDER BY k) AS kept FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)""",
     "op9_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
 sh AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),

@@ -28,7 +28,7 @@ from .common import map_arrow
 
 LENGTH = 200
 #: Lengths of minimisers in bytes; the next one serves what the one before leaves hot.
-LEVELS = (64, 128, 176, LENGTH)
+LEVELS = (64, 128, 176, 192, LENGTH)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, levels: tuple[int, ...] = LEVELS) -> DataFrame:

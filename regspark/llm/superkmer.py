@@ -34,9 +34,11 @@ from . import textkit as t
 from .common import map_arrow, materialise
 
 #: Strings of one minimiser beyond which they are cut once more.
-HOT = 100
+HOT = 500
 #: Bytes of strings that are sorted together.
 SORTED = 1 << 20
+#: Rows that are sent on together.
+SENT = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -49,8 +51,8 @@ class Symbols:
 
     @property
     def chunk(self) -> int:
-        """Bytes of text at a time; the arrays over them have eight bytes for each symbol."""
-        return t.CHUNK if self.kind == "word" else t.CHUNK >> 1
+        """Bytes of text at a time, so that arrays of eight bytes for each symbol stay in a core's cache."""
+        return t.CHUNK if self.kind == "word" else t.CHUNK >> 3
 
     def cut(self, buf, offs):
         """Start and end bytes of the symbols (none for bytes) and the documents' bounds among them."""
@@ -140,13 +142,23 @@ def signed(x: np.ndarray) -> pa.Array:
 def _places(docs: DataFrame, sym: Symbols) -> DataFrame:
     m = sym.levels[0]
 
-    def run(batches):
+    def parts(batches):
         for b in batches:
             ids, rows = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for i, _, buf, offs in t.chunks(b.column(2), sym.chunk):
                 s, e, bounds = sym.cut(buf, offs)
                 doc, start, n, mini, body = super_kmers(sym.k, m, *sym.hashes(buf, s, e, m), bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc]), pa.array(rows[i + doc]), pa.array(start - bounds[doc]), pa.array(n.astype(np.int32)), signed(mini), signed(body)], ["doc", "row", "at", "n", "mini", "body"])
+                yield ids[i + doc], rows[i + doc], start - bounds[doc], n.astype(np.int32), mini.view(np.int64), body.view(np.int64)
+
+    def run(batches):
+        held = []
+        for x in parts(batches):
+            held.append(x)
+            if sum(len(h[0]) for h in held) >= SENT:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["doc", "row", "at", "n", "mini", "body"])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["doc", "row", "at", "n", "mini", "body"])
 
     return map_arrow(docs.select("doc", "row", "text"), run, "doc long, row long, at long, n int, mini long, body long")
 

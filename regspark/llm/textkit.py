@@ -140,17 +140,22 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
 def in_a_row(x: np.ndarray, k: int, size: int = 1, also: int = 0):
     """A hash of every k symbols in a row, from hashes x of every `size` in a row; and of every `also` (a step on the way).
 
-    Spans are doubled; the last two overlap. All bits are mixed in each step, so
-    no sum of symbols can cancel.
+    Spans are doubled; the last two overlap. High bits are folded into low ones
+    after each sum, so no sum of symbols can cancel.
     """
     other = x if size == also else None
     while 2 * size <= k:
-        x = mix(x[:-size] * U(_P) + x[size:])
-        size *= 2
+        y = x[:-size] * U(_P)
+        y += x[size:]
+        y ^= y >> U(32)
+        x, size = y, 2 * size
         other = x if size == also else other
     if size < k:
-        x = mix((x[: len(x) - (k - size)] * U(_P) ^ U(k)) + x[k - size :])
-    return x, other
+        y = x[: len(x) - (k - size)] * U(_P)
+        y ^= U(k)
+        y += x[k - size :]
+        x = y
+    return mix(x), other
 
 
 def run_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -170,12 +175,10 @@ def owner(bounds: np.ndarray) -> np.ndarray:
 
 def window_starts(bounds: np.ndarray, k: int) -> np.ndarray:
     """Indexes at which k items in a row are of one document."""
-    n = int(bounds[-1])
-    ok = np.ones(n, bool)
-    for j in range(1, k):  # the last k - 1 items of each document start no window
-        at = bounds[1:] - j
-        ok[at[at >= bounds[:-1]]] = False
-    return np.flatnonzero(ok)
+    d = np.zeros(int(bounds[-1]) + 1, np.int32)
+    np.add.at(d, np.maximum(bounds[1:] - (k - 1), bounds[:-1]), 1)  # the last k - 1 items of each document start no window
+    np.add.at(d, bounds[1:], -1)
+    return np.flatnonzero(np.cumsum(d[:-1]) == 0)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
