@@ -19,7 +19,13 @@ five of them, weighted by how often it occurs in its window.
 A text or item that is null or has under five words has no shingle and meets
 nothing. A document shorter than an item is one window. Rows without an id are
 left out; rows that share an id count as one document with all their windows.
-Columns other than ids and texts are not read.
+Ties: of equally similar windows the first is reported. Very long texts take
+rows in proportion to their words, not memory. Empty tables give an empty
+result. Columns other than ids and texts are not read.
+
+Of 64 bits, 9.7 differ on average at the limit, so a radius that loses nothing
+needs many small blocks, which select little by themselves; what is selective is
+step 1. The distance within RADIUS is then checked on whole fingerprints.
 """
 
 from __future__ import annotations
@@ -47,11 +53,12 @@ def shingles(w: Column) -> Column:
 
 
 def simhash(sh: Column) -> Column:
-    """Bit k is set where most shingle hashes, repeats counted, have it. Four 16-bit counters share a long."""
+    """Bit k is set where most shingle hashes, repeats counted, have it. Two 32-bit counters share a long."""
     half = F.size(sh)
-    sums = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.aggregate(sh, F.lit(0).cast("long"), lambda acc, h: acc + F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(0x0001000100010001))))
-    lane = lambda x, j: F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0xFFFF))
-    bits = F.transform(sums, lambda x, k: F.aggregate(F.array(*(F.when(2 * lane(x, j) > half, F.call_function("shiftleft", F.lit(1 << (16 * j)).cast("long") if j < 3 else F.lit(1 << 48).cast("long"), k)).otherwise(F.lit(0).cast("long")) for j in range(4))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    shift = lambda x, k: F.call_function("shiftrightunsigned", x, k)
+    sums = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.aggregate(sh, F.lit(0).cast("long"), lambda acc, h: acc + shift(h, k).bitwiseAND(F.lit((1 << 32) + 1))))
+    bit = lambda x, k, j: F.when(2 * shift(x, F.lit(32 * j)).bitwiseAND(F.lit((1 << 32) - 1)) > half, F.call_function("shiftleft", F.lit(1).cast("long"), k + 32 * j)).otherwise(F.lit(0).cast("long"))
+    bits = F.transform(sums, lambda x, k: bit(x, k, 0).bitwiseOR(bit(x, k, 1)))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
@@ -67,9 +74,21 @@ def plain(sh: Column) -> Column:
     return F.size(F.array_distinct(sh)) == F.size(sh)
 
 
+def shared_weight(a: Column, b: Column) -> Column:
+    """Sum over values of the lesser of their counts in a and b: one pass over both, sorted together."""
+    sided = F.array_sort(F.concat(F.transform(a, lambda x: F.struct(x.alias("x"), F.lit(1).alias("p"), F.lit(0).alias("q"))), F.transform(b, lambda x: F.struct(x.alias("x"), F.lit(0).alias("p"), F.lit(1).alias("q")))))
+    state = lambda x, p, q, both: F.struct(x.alias("x"), p.alias("p"), q.alias("q"), both.alias("both"))
+    closed = lambda s: s.both + F.least(s.p, s.q)
+
+    def step(s, v):
+        same = s.x.eqNullSafe(v.x)
+        return state(v.x, F.when(same, s.p).otherwise(F.lit(0)) + v.p, F.when(same, s.q).otherwise(F.lit(0)) + v.q, F.when(same, s.both).otherwise(closed(s)))
+
+    return F.aggregate(sided, state(F.lit(None).cast("long"), F.lit(0), F.lit(0), F.lit(0)), step, closed)
+
+
 def weighted_jaccard(a: Column, b: Column) -> Column:
-    times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    both = F.when(plain(a) & plain(b), F.size(F.array_intersect(a, b))).otherwise(F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x))))
+    both = F.when(plain(a) & plain(b), F.size(F.array_intersect(a, b))).otherwise(shared_weight(a, b))
     return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
 
 

@@ -46,9 +46,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,14 +104,12 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text,
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 ds AS (SELECT doc_id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (SELECT doc_id, w, len(w) AS n, unnest(range(0, len(w) - 4)) AS p FROM d)),
 ish AS (SELECT item_id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (SELECT item_id, w, len(w) AS n, unnest(range(0, len(w) - 4)) AS p FROM i)),
-diff AS (SELECT item_id, count(DISTINCT s) AS different FROM ish GROUP BY 1),
-met AS (SELECT doc_id, item_id, ish.n AS l, ds.s, greatest(0, least(ds.p - ish.p, ds.n - ish.n)) AS start FROM ds JOIN ish USING (s)),
-cand AS (SELECT doc_id, item_id FROM met JOIN diff USING (item_id) GROUP BY doc_id, item_id, different HAVING count(DISTINCT s) >= 0.8 * different),
-win AS (SELECT DISTINCT doc_id, item_id, l, start FROM met JOIN cand USING (doc_id, item_id)),
-ws AS (SELECT win.doc_id, item_id, l, start, s, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p BETWEEN start AND start + l - 5 GROUP BY ALL),
-ic AS (SELECT item_id, s, count(*) AS c FROM ish GROUP BY ALL),
-sums AS (SELECT doc_id, item_id, l, start, sum(ws.c) AS nw, coalesce(sum(least(ws.c, ic.c)), 0) AS common FROM ws LEFT JOIN ic USING (item_id, s) GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, l, start, (common / (nw + (SELECT sum(c) FROM ic WHERE ic.item_id = sums.item_id) - common))::DOUBLE AS similarity FROM sums)
+ic AS (SELECT item_id, n AS l, s, count(*) AS c FROM ish GROUP BY ALL),
+met AS (SELECT doc_id, item_id, ds.n, l, ds.p, ds.s, c FROM ds JOIN ic USING (s)),
+win AS (SELECT doc_id, item_id, n, l, unnest(range(0, greatest(n - l, 0) + 1)) AS start FROM (SELECT DISTINCT doc_id, item_id, n, l FROM met)),
+ws AS (SELECT win.doc_id, win.item_id, win.n, win.l, start, s, least(count(*), max(c)) AS c FROM win JOIN met ON win.doc_id = met.doc_id AND win.item_id = met.item_id AND p BETWEEN start AND start + least(win.n, win.l) - 5 GROUP BY ALL),
+sums AS (SELECT doc_id, item_id, n, l, start, sum(c) AS common FROM ws GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, l, start, (common / (least(n, l) - 4 + l - 4 - common))::DOUBLE AS similarity FROM sums)
 SELECT doc_id, item_id, similarity, start::INTEGER AS start, l::INTEGER AS n_words FROM sim WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1""",
     "op10_suffix_array_dedup": r"""
@@ -137,6 +137,10 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id
 }
 
 
+#: Levels that the SQL states; the operator takes as many as there are. The tables' paths have four segments at most.
+URL_SQL_LEVELS = 6
+
+
 def _url_sql() -> str:
     hosts = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     fits = []
@@ -146,20 +150,21 @@ def _url_sql() -> str:
     case = lambda k: "CASE " + " ".join(f"WHEN {x[0]} THEN '{x[k]}'" for x in fits) + " END"
     sql = f"""
 WITH p AS (SELECT page_id, {hosts} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-r AS (SELECT *, {case(1)} AS rule, {case(2)} AS said, list_transform(string_split(ltrim(path, '/'), '/'), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS segs FROM p),
-t0 AS (SELECT host, segs, count(*)::DOUBLE AS n, count(*) FILTER (said = 'allow')::DOUBLE AS good, count(*) FILTER (said = 'block')::DOUBLE AS bad, '' AS node FROM r GROUP BY ALL)"""
-    for d in range(4):
+r AS MATERIALIZED (SELECT *, {case(1)} AS rule, {case(2)} AS said, list_transform(string_split(ltrim(path, '/'), '/'), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE '=' || s END) AS segs FROM p),
+t0 AS MATERIALIZED (SELECT host, segs, count(*) FILTER (said = 'allow')::DOUBLE AS good, count(*) FILTER (said = 'block')::DOUBLE AS bad, ''::VARCHAR AS node FROM r GROUP BY ALL)"""
+    for d in range(URL_SQL_LEVELS):
         sql += f""",
-k{d} AS (SELECT host, node, segs[{d + 1}] AS seg, sum(n) AS kn, sum(good) AS kg, sum(bad) AS kb FROM t{d} WHERE len(segs) > {d} GROUP BY ALL),
-a{d} AS (SELECT host, node, count(*) AS kids, sum(kn) AS tn, sum(kg) AS tg, sum(kb) AS tb FROM k{d} GROUP BY ALL),
-n{d} AS (SELECT host, node, seg, CASE WHEN kids > 32 AND kn < 0.05 * tn THEN '*'
-  WHEN kg + kb > 0 AND tg + tb - kg - kb > 0 AND abs(kg / (kg + kb) - (tg - kg) / (tg + tb - kg - kb)) <= 1.96 * sqrt(tg / (tg + tb) * (1 - tg / (tg + tb)) * (1 / (kg + kb) + 1 / (tg + tb - kg - kb))) THEN '~' ELSE seg END AS new FROM k{d} JOIN a{d} USING (host, node)),
-t{d + 1} AS (SELECT t.host, t.segs, t.n, t.good, t.bad, CASE WHEN x.seg IS NULL THEN t.node ELSE t.node || '/' || x.new END AS node FROM t{d} t LEFT JOIN n{d} x ON t.host = x.host AND t.node = x.node AND t.segs[{d + 1}] = x.seg)"""
-    return sql + """,
-f AS (SELECT host, segs, good, bad, CASE WHEN len(segs) > 4 THEN node || '/' || array_to_string(segs[5:], '/') ELSE node END AS node FROM t4),
-u AS (SELECT host, node, (sum(good) + 1) / (sum(good) + sum(bad) + 2) AS purity FROM f GROUP BY ALL)
+k{d} AS (SELECT host, node, segs[{d + 1}] AS seg, sum(good) AS g, sum(bad) AS b FROM t{d} WHERE len(segs) > {d} GROUP BY ALL),
+e{d} AS (SELECT host, node, g, b, count(*) AS kids FROM k{d} WHERE seg <> '*' AND g + b >= 5 GROUP BY ALL),
+c{d} AS (SELECT *, lag(g) OVER w AS pg, lag(b) OVER w AS pb FROM e{d} WINDOW w AS (PARTITION BY host, node ORDER BY g / (g + b), g, b)),
+z{d} AS (SELECT host, node, g, b, kids, count(*) FILTER (pg IS NOT NULL AND abs(g / (g + b) - pg / (pg + pb)) > 1.96 * sqrt((g + pg) / (g + b + pg + pb) * (1 - (g + pg) / (g + b + pg + pb)) * (1 / (g + b) + 1 / (pg + pb)))) OVER (PARTITION BY host, node ORDER BY g / (g + b), g, b) AS k FROM c{d}),
+y{d} AS (SELECT *, sum(kids) OVER (PARTITION BY host, node, k) AS alike FROM z{d}),
+n{d} AS (SELECT k{d}.host, k{d}.node, seg, CASE WHEN seg = '*' OR y{d}.k IS NULL THEN '*' WHEN alike = 1 THEN seg ELSE '~' || y{d}.k END AS new FROM k{d} LEFT JOIN y{d} ON k{d}.host = y{d}.host AND k{d}.node = y{d}.node AND k{d}.g = y{d}.g AND k{d}.b = y{d}.b AND seg <> '*'),
+t{d + 1} AS MATERIALIZED (SELECT t.host, t.segs, t.good, t.bad, CASE WHEN x.seg IS NULL THEN t.node ELSE t.node || '/' || x.new END AS node FROM t{d} t LEFT JOIN n{d} x ON t.host = x.host AND t.node = x.node AND t.segs[{d + 1}] = x.seg)"""
+    return sql + f""",
+u AS (SELECT host, node, (sum(good) + 1) / (sum(good) + sum(bad) + 2) AS purity FROM t{URL_SQL_LEVELS} GROUP BY ALL)
 SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN purity < 0.25 THEN 'block' ELSE 'allow' END) AS verdict, f.node AS template, purity
-FROM r JOIN f ON r.host = f.host AND r.segs = f.segs JOIN u ON f.host = u.host AND f.node = u.node"""
+FROM r JOIN t{URL_SQL_LEVELS} f ON r.host = f.host AND r.segs = f.segs JOIN u ON f.host = u.host AND f.node = u.node"""
 
 
 ORACLES["op8_url_filters"] = _url_sql()

@@ -8,7 +8,10 @@ vocabulary strings come out as one token when they stand alone; pre-tokens
 equal to one of them count 1 without a merge. Only the rest are merged, each
 distinct one once, with a bounded memory of earlier results.
 
-null and empty texts have 0 tokens. Other columns are not read.
+null and empty texts have 0 tokens; repeated rows are counted each, and ids may
+be anything. Very long texts take memory in proportion to one text; a pre-token
+is merged whole, however long. An empty table gives an empty result. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -86,6 +89,13 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
+def counter_of(model_file: str) -> Counter:
+    """This worker's counter, made once."""
+    if model_file not in _counters:
+        _counters[model_file] = Counter(model_file)
+    return _counters[model_file]
+
+
 def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row; ids may repeat or be null.
 
@@ -94,9 +104,7 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        if model_file not in _counters:
-            _counters[model_file] = Counter(model_file)
-        counter = _counters[model_file]
+        counter = counter_of(model_file)
         for b in batches:
             for i, j, buf, offs in t.chunks(b.column(1)):
                 n = counter.count(buf, offs)

@@ -1,29 +1,33 @@
 """URL filtering: fixed host and path rules, then a tree of path templates per host.
 
-A url's path is generalised to a template: segments that hold a digit become
-`*`. The distinct templates of a host form a tree. From the root down, a node
-with many children turns its small ones into one `*`, and children whose
-labelled shares do not differ (a two-proportion z-test against the node) are
-merged into one `~`. The labels are the rules' own verdicts. A template whose
-smoothed share of allowed rows is under a threshold is blocked; the longest
-rule that fits always comes first.
+The segments of a url's path are the branches of its host's tree. From the root
+down, as deep as paths go, variable segments are generalised into a wildcard:
+those that hold a digit, and those of which too few urls are labelled to tell
+them apart. The other children of a node are put in the order of their labelled
+shares; neighbours whose shares do not differ (a two-proportion z-test) are
+merged, and so are the trees below them. The labels are the rules' own verdicts.
+A template whose smoothed share of allowed rows is under a threshold is blocked;
+the longest rule that fits always comes first.
+
+In a template, a segment is `=` and its text, `*` for the wildcard or `~` and a
+number for merged branches, so a literal `*` or `~` meets none of these.
 
 A null url, or one without `://`, has an empty host and path and meets no rule.
-Repeated rows count and are judged each. Extra columns are kept out.
+Repeated rows count and are judged each. Very long paths have as many levels as
+segments. Ties: children of equal counts are one in all that follows. An empty
+table gives an empty result. Extra columns are kept out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree that are generalised; what is below them stays as it is.
-DEPTH = 4
-#: A node with more children than this joins those with less than SMALL of its rows.
-MANY, SMALL = 32, 0.05
+#: A child of a node with fewer labelled rows is not told apart from others of the kind.
+FEW = 5
 #: Two shares within this many standard errors are alike.
 ALIKE = 1.96
 #: Rows of either label that the smoothing adds, and the least share of allowed rows.
@@ -49,26 +53,38 @@ def first_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colu
 
 
 def template(path: Column) -> Column:
-    return F.transform(F.split(F.ltrim(path, F.lit("/")), "/"), lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s))
+    return F.transform(F.split(F.ltrim(path, F.lit("/")), "/"), lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(F.concat(F.lit("="), s)))
+
+
+def merged(kid: DataFrame) -> DataFrame:
+    """kid: host, node, seg, g, b (labelled rows). Adds `new`, the branch that the child belongs to.
+
+    A node's children are taken by their different counts, of which there are far fewer than children.
+    """
+    own = (F.col("seg") != "*") & (F.col("g") + F.col("b") >= FEW)
+    kind = kid.where(own).groupBy("host", "node", "g", "b").agg(F.count("*").alias("kids"))
+    w = Window.partitionBy("host", "node").orderBy(F.col("g") / (F.col("g") + F.col("b")), "g", "b")
+    kind = kind.withColumns({"pg": F.lag("g").over(w), "pb": F.lag("b").over(w)})
+    n, pn = F.col("g") + F.col("b"), F.col("pg") + F.col("pb")
+    pooled = (F.col("g") + F.col("pg")) / (n + pn)
+    apart = F.abs(F.col("g") / n - F.col("pg") / pn) > ALIKE * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / pn))
+    kind = kind.withColumn("k", F.count_if(F.col("pg").isNotNull() & apart).over(w))
+    kind = kind.withColumn("alike", F.sum("kids").over(Window.partitionBy("host", "node", "k"))).withColumn("own", F.lit(True))
+    kid = kid.withColumn("own", own).join(kind.select("host", "node", "g", "b", "own", "k", "alike"), ["host", "node", "g", "b", "own"], "left")
+    new = F.when(F.col("k").isNull(), "*").when(F.col("alike") == 1, F.col("seg")).otherwise(F.concat(F.lit("~"), F.col("k").cast("string")))
+    return kid.select("host", "node", "seg", new.alias("new"))
 
 
 def grow(counts: DataFrame) -> DataFrame:
-    """counts: host, segs, n, good, bad. Adds `node`, the generalised template of each row."""
+    """counts: host, segs, good, bad. Adds `node`, the generalised template of each row."""
     t = counts.withColumn("node", F.lit(""))
-    for d in range(DEPTH):
+    levels = counts.agg(F.max(F.size("segs"))).first()[0] or 0
+    for d in range(levels):
         t = t.withColumn("seg", F.get("segs", F.lit(d)))
-        kid = t.where("seg is not null").groupBy("host", "node", "seg").agg(F.sum("n").alias("kn"), F.sum("good").alias("kg"), F.sum("bad").alias("kb"))
-        top = kid.groupBy("host", "node").agg(F.count("*").alias("kids"), F.sum("kn").alias("tn"), F.sum("kg").alias("tg"), F.sum("kb").alias("tb"))
-        k, rest = F.col("kg") + F.col("kb"), F.col("tg") + F.col("tb") - F.col("kg") - F.col("kb")
-        pooled = F.col("tg") / (F.col("tg") + F.col("tb"))
-        error = F.sqrt(pooled * (1 - pooled) * (1 / k + 1 / rest))
-        apart = F.abs(F.col("kg") / k - (F.col("tg") - F.col("kg")) / rest)
-        alike = F.when((k > 0) & (rest > 0), apart <= ALIKE * error).otherwise(False)
-        new = F.when((F.col("kids") > MANY) & (F.col("kn") < SMALL * F.col("tn")), "*").when(alike, "~").otherwise(F.col("seg"))
-        kid = kid.join(top, ["host", "node"]).select("host", "node", "seg", new.alias("new"))
-        t = t.join(kid, ["host", "node", "seg"], "left").withColumn("node", F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "new"))).drop("seg", "new")
-    deep = F.size("segs") > DEPTH
-    return t.withColumn("node", F.when(deep, F.concat("node", F.lit("/"), F.array_join(F.slice("segs", DEPTH + 1, F.greatest(F.size("segs") - DEPTH, F.lit(0))), "/"))).otherwise(F.col("node")))
+        kid = t.where("seg is not null").groupBy("host", "node", "seg").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+        t = t.join(merged(kid), ["host", "node", "seg"], "left").withColumn("node", F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "new"))).drop("seg", "new")
+        t = materialise(t) if d % 3 == 2 else t  # else each level's plan holds those before it twice
+    return t
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -76,7 +92,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     host, path = parts(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("hit", first_rule(F.col("host"), F.col("path"), rules)).withColumn("segs", template(F.col("path")))
-    counts = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count_if(F.col("hit.verdict") == "allow").alias("good"), F.count_if(F.col("hit.verdict") == "block").alias("bad"))
+    counts = rows.groupBy("host", "segs").agg(F.count_if(F.col("hit.verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("hit.verdict") == "block").cast("double").alias("bad"))
     t = grow(materialise(counts))
     share = (F.sum("good") + ADDED) / (F.sum("good") + F.sum("bad") + 2 * ADDED)
     t = materialise(t)
