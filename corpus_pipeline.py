@@ -41,7 +41,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Batches of tokens; every row that is left is in one of them."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
