@@ -8,7 +8,9 @@ limits on length and on repeated windows come before it.
 
 null and empty texts have no words and fail the length limit. Rows without a
 label, or with labels that differ, are judged but not learnt from; without both
-labels the classifier keeps all. Only the columns named are read.
+labels the classifier keeps all. Repeated rows are judged each. Ties: a probability at
+the threshold is kept. Very long texts take memory in proportion to one text.
+An empty table gives an empty result. Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ def features(buf: np.ndarray, offs: np.ndarray, h: np.ndarray, bounds: np.ndarra
     top = t.U(64 - BITS)
     last = np.zeros(len(h), bool)
     last[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
-    pair = np.where(last, h, t.mix(h + np.append(h[1:], 0).astype(t.U) * t.U(31))) if len(h) else h
+    pair = np.where(last, h, t.mix(h + np.append(h[1:], t.U(0)) * t.U(31))) if len(h) else h
     ids = np.stack([h >> top, pair >> top], 1).ravel().astype(np.int64)
     b = buf.astype(np.uint32)
     tri = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS) if len(b) > 2 else b[:0]
@@ -132,20 +134,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def counts(buf: np.ndarray, offs: np.ndarray):
     """Word hashes and bounds; n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each document."""
     s, e, bounds = t.words(buf, offs)
-    pre = t.prefix(t.BYTE[buf])
-    h = t.slices(pre, s, e)
+    h = t.word_hashes(buf, s, e)
     at = lambda flag: t.grouped_sum(flag, offs)
     chars = at(~t.SEPARATOR[buf] & (buf & 0xC0 != 0x80))
     ls, le, lb = t.runs(buf != 0x0A, offs)
     seps = np.concatenate([[0], np.cumsum(~t.SEPARATOR[buf])])
     worded = np.flatnonzero(seps[le] > seps[ls])
     of = t.owner(lb)[worded]
-    key = t.mix(t.slices(pre, ls[worded], le[worded]) + of.astype(t.U) * t.BYTE[1])
+    key = t.mix(t.word_hashes(buf, ls[worded], le[worded]) + of.astype(t.U) * t.BYTE[1])
     lines = np.bincount(of, minlength=len(offs) - 1)
     _, first = np.unique(key, return_index=True)
     dup = lines - np.bincount(of[first], minlength=len(offs) - 1)
     ws = t.window_starts(bounds, WINDOW)
-    wkey = t.mix(t.slices(t.prefix(h), ws, ws + WINDOW) + t.owner(bounds)[ws].astype(t.U) * t.BYTE[2]) if len(ws) else h[:0]
+    wkey = t.mix(t.in_a_row(h, WINDOW)[0][ws] + t.owner(bounds)[ws].astype(t.U) * t.BYTE[2]) if len(ws) else h[:0]
     order = np.argsort(wkey)
     k = wkey[order]
     same = np.zeros(len(k) + 1, bool)

@@ -8,7 +8,10 @@ in proportion to how much each explains it. The sentence scores then say where.
 null and empty texts have no sentence and score 0. Documents without a label,
 or with labels that differ, are scored but not learnt from; without both labels
 among the rows to learn from, every score is the share of label 1 there (0 for
-none). Only the columns named are read, so others may clash in name.
+none). Repeated rows are scored each; rows that share an id and are labelled are
+each learnt from. Ties: of equally bad sentences the first is reported, and equal
+scores are treated alike. Very long texts take memory in proportion to one text.
+Only the columns named are read, so others may clash in name.
 """
 
 from __future__ import annotations
@@ -136,20 +139,20 @@ def train(docs: DataFrame, labels: DataFrame, fold, id_col: str = "doc_id", text
     h = F.xxhash64(id_col)
     picked = [known.where(f"_y = {y}").orderBy(h, id_col).limit(SAMPLE) for y in (0, 1)]
     picked = F.broadcast(picked[0].union(picked[1]).select(F.col(id_col).alias("_id"), "_y"))  # 2 * SAMPLE rows at most
-    rows = docs.select(id_col, text_col).join(picked, F.col(id_col) == F.col("_id")).select("_y", text_col)
+    rows = docs.select(id_col, text_col).join(picked, F.col(id_col) == F.col("_id")).select("_y", F.xxhash64(id_col, text_col).alias("_h"), text_col)
 
     def bag(batches):
         for b in batches:
-            for i, j, buf, offs in t.chunks(b.column(1)):
+            for i, j, buf, offs in t.chunks(b.column(2)):
                 _, _, bounds, wb, ids = sentences(buf, offs)
                 of = wb[bounds]
                 n = [np.diff(wb[x : y + 1]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([ids[x:y] for x, y in zip(of[:-1], of[1:], strict=True)], pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))], ["_y", "ids", "n"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([ids[x:y] for x, y in zip(of[:-1], of[1:], strict=True)], pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))], ["_y", "_h", "ids", "n"])
 
-    got = map_arrow(rows, bag, "_y int, ids array<int>, n array<long>").toArrow()
-    key = [(y, len(i), i[:8].tobytes(), i, n) for y, i, n in zip(got["_y"].to_pylist(), map(_np, got["ids"]), map(_np, got["n"]), strict=True)]
-    key.sort(key=lambda x: x[:3])  # rows come in any order
-    return fit([(x[3], x[4]) for x in key], np.array([x[0] for x in key], int))
+    got = map_arrow(rows, bag, "_y int, _h long, ids array<int>, n array<long>").toArrow()
+    order = np.lexsort((got["_h"].to_numpy(), got["_y"].to_numpy())).tolist()  # rows come in any order; equal keys are equal rows
+    ids, n, y = list(map(_np, got["ids"])), list(map(_np, got["n"])), got["_y"].to_numpy()
+    return fit([(ids[k], n[k]) for k in order], y[order].astype(int))
 
 
 def _np(x) -> np.ndarray:
