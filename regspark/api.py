@@ -35,7 +35,7 @@ class Tree:
 
     @staticmethod
     def from_images(files: DataFrame, tolerant: bool = True) -> Tree:
-        t = {x: regf.take_apart(files, x, tolerant) for x in regf.SCHEMAS}
+        t = regf.tables(files, tolerant)
         k = t["keys"].where("path <> ''").withColumn("last_write", c.filetime_to_micros("last_write_ft"))
         return Tree(_keys(k), _values(t["values"]), t)
 
@@ -96,10 +96,8 @@ class Tree:
         """Counts of cells by kind and use, space per image, and the emptiest bins."""
         if self.image is None:
             raise ValueError("this tree came from no image")
-        cells, used = self.image["cells"], F.when(F.col("allocated"), F.col("size")).otherwise(0)
-        purposes = self.image["refs"].groupBy("kind").agg(F.countDistinct("hive_id", "dst").alias("n"))
-        bins = cells.withColumn("bin", F.concat_ws(":", "hive_id", "hbin_off")).select("bin", used.alias("size"), F.col("size").alias("all"))
-        return {"kinds": stats.cell_counts(cells), "purposes": purposes, "storage": stats.storage(cells), "worst_bins": stats.worst_bins(bins, "bin", F.sum("all"))}
+        cells, bins = self.image["cells"], stats.bin_use(self.image["hbins"], self.image["cells"])
+        return {"kinds": stats.cell_counts(cells), "purposes": stats.cells_by_use(cells, self.image["refs"]), "storage": stats.storage(cells), "worst_bins": bins.orderBy("efficiency", "hive_id", "abs_off").limit(20), "classes": stats.efficiency_classes(bins), "summary": stats.bin_summary(bins)}
 
     def layout(self) -> tuple[DataFrame, DataFrame]:
         """Sizes of key and value records: names as stored, and the records they make."""
@@ -148,7 +146,8 @@ class Tree:
         return self._one(DELETE_VALUE, path, name)
 
     def link(self, child: Tree, mount: str, conflict: str = link.OVERWRITE, flatten: str | None = None) -> Tree:
-        k = link.link_keys(self.keys, link.mounted(child.keys.select("path"), "path", mount, flatten)).withColumn("last_write", F.lit(0).cast("long"))
+        k = link.link_keys(self.keys, link.mounted(child.keys.select("path"), "path", mount, flatten))
+        k = k.join(self.keys.select("path", "last_write"), "path", "left").withColumn("last_write", F.coalesce("last_write", F.lit(0).cast("long")))
         cols = ["key_path", "name", *_FIELDS]
         v = link.link_values(self.values.select(cols), link.mounted(child.values.select(cols), "key_path", mount, flatten), conflict)
         return Tree(_keys(k), _values(v))
@@ -170,7 +169,13 @@ class Tree:
     def diagnose(self) -> DataFrame:
         if self.image is None:
             raise ValueError("this tree came from no image")
-        return checks.diagnose(*(self.image[x] for x in ("hives", "hbins", "cells", "keys", "refs")))
+        return checks.diagnose(*(self.image[x] for x in ("hives", "hbins", "cells", "keys", "refs", "errors")))
+
+    def security(self) -> DataFrame:
+        """Security records with the counts they store and the keys that refer to them."""
+        if self.image is None:
+            raise ValueError("this tree came from no image")
+        return checks.security_counts(self.image["security"], self.image["refs"])
 
     # ---- sinks
 
@@ -193,4 +198,4 @@ def _keys(df: DataFrame) -> DataFrame:
 
 
 def _values(df: DataFrame) -> DataFrame:
-    return df.select("key_path", "name", F.col("reg_type").cast("int").alias("reg_type"), F.coalesce(F.octet_length("data"), F.lit(0)).cast("long").alias("size"), "data")
+    return df.select("key_path", c.norm_path("key_path").alias("key_norm"), "name", F.col("reg_type").cast("int").alias("reg_type"), F.coalesce(F.octet_length("data"), F.lit(0)).cast("long").alias("size"), "data")

@@ -24,6 +24,8 @@ def validate(keys: DataFrame, values: DataFrame, limits: Limits) -> DataFrame:
     b = values.select(F.explode(F.array(*(F.when(x > most, _row(rule, kp, x, most)) for rule, (x, most) in per_value.items()))).alias("r"))
     many = values.groupBy(kp.alias("path")).agg(F.count("*").alias("n")).where(F.col("n") > limits.values)
     rows = a.where("r is not null").select("r.*").unionByName(b.where("r is not null").select("r.*"))
+    whole = values.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).where(F.col("n") > limits.total_size)
+    rows = rows.unionByName(whole.select(_row("total_size", F.lit(""), F.col("n"), limits.total_size).alias("r")).select("r.*"))
     rows = rows.unionByName(kids.select(_row("subkeys", p, F.col("n"), limits.subkeys).alias("r")).select("r.*"))
     return rows.unionByName(many.select(_row("values", p, F.col("n"), limits.values).alias("r")).select("r.*"))
 
@@ -58,8 +60,18 @@ def _diag(severity: str, structure: str, issue: str, offset: Column, expected: C
     return [F.col("hive_id"), F.lit(severity).alias("severity"), F.lit("structure").alias("category"), offset.cast("long").alias("offset"), F.lit(structure).alias("structure"), F.lit(issue).alias("issue"), text(expected).alias("expected"), text(actual).alias("actual"), text(path).alias("key_path"), F.lit(None).cast("string").alias("value_name"), fix.cast(kind).alias("repair")]
 
 
-def diagnose(hives: DataFrame, hbins: DataFrame, cells: DataFrame, keys: DataFrame, refs: DataFrame) -> DataFrame:
-    """Findings about images that regf.read() has taken apart.
+def unreadable(errors: DataFrame) -> DataFrame:
+    """Records that a walk could not read, as findings: what they are tells how grave it is."""
+    issue = F.col("issue")
+    severity = F.when(issue == "no REGF header", "critical").when(issue.startswith("data ") & issue.endswith("is short"), "warning").otherwise("error")
+    structure = F.when(issue == "no REGF header", "REGF").when(issue.contains("HBIN"), "HBIN").when(issue.contains("list") | issue.contains("subkeys"), "list").when(issue.contains("value") | issue.contains("data"), "VK").when(issue.contains("key"), "NK").otherwise("cell")
+    none = F.lit(None).cast("string")
+    kind = "struct<type:string,description:string,confidence:double,risk:string,auto_apply:boolean>"
+    return errors.select("hive_id", severity.alias("severity"), F.lit("structure").alias("category"), F.col("off").alias("offset"), structure.alias("structure"), "issue", none.alias("expected"), none.alias("actual"), none.alias("key_path"), none.alias("value_name"), F.lit(None).cast(kind).alias("repair"))
+
+
+def diagnose(hives: DataFrame, hbins: DataFrame, cells: DataFrame, keys: DataFrame, refs: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Findings about images that regf.read() has taken apart; with `errors`, also what could not be read.
 
     refs: hive_id, kind (what refers), src, dst (cell offsets). A cell in use
     that nothing reaches from the root is an orphan.
@@ -81,12 +93,28 @@ def diagnose(hives: DataFrame, hbins: DataFrame, cells: DataFrame, keys: DataFra
     reached = refs.select("hive_id", "dst").unionByName(hives.select("hive_id", h("root_cell").alias("dst"))).distinct()
     orphans = used.join(reached, ["hive_id", "dst"], "left_anti")
     out.append(orphans.groupBy("hive_id").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).select(_diag("warning", "cell", "cells in use that nothing refers to", h("dst"), F.lit(0), h("n"))))
+    if errors is not None:
+        out.append(unreadable(errors))
     rows = out[0]
     for x in out[1:]:
         rows = rows.unionByName(x)
     return rows
 
 
+def security_counts(security: DataFrame, refs: DataFrame) -> DataFrame:
+    """hive_id, off, ref_count (as stored), used (keys that refer to it) and holds of each security record."""
+    used = refs.where("kind = 'security'").groupBy("hive_id", F.col("dst").alias("off")).agg(F.count("*").alias("used"))
+    j = security.select("hive_id", "off", "ref_count").join(used, ["hive_id", "off"], "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    return j.withColumn("holds", F.col("used") == F.col("ref_count"))
+
+
+def security_ring(security: DataFrame) -> DataFrame:
+    """Security records whose neighbour does not point back: hive_id, off, neighbour."""
+    back = security.select("hive_id", F.col("off").alias("flink"), F.col("blink").alias("back"))
+    j = security.select("hive_id", "off", "flink").join(back, ["hive_id", "flink"], "left")
+    return j.where(F.col("back").isNull() | (F.col("back") != F.col("off"))).select("hive_id", "off", F.col("flink").alias("neighbour"))
+
+
 def verify(hives: DataFrame, hbins: DataFrame, cells: DataFrame) -> DataFrame:
     """One row for each hive and invariant: holds or not."""
     h = hives.select("hive_id", F.explode(F.array(

@@ -14,6 +14,39 @@ def text_tree(keys: DataFrame, max_depth: int | None = None, indent: int = 2) ->
     return out.select(F.split("path_norm", r"\\").alias("preorder"), F.concat(F.repeat(F.lit(" "), (F.col("depth") - 1) * indent), "name").alias("line"))
 
 
+def text_values(values: DataFrame, indent: int = 2, cut: int = 100) -> DataFrame:
+    """preorder, name and line of each value, to go below its key's line; long contents are cut."""
+    shown = c.display("reg_type", "data")
+    shown = F.when(F.length(shown) > cut, F.concat(F.substring(shown, F.lit(1), F.lit(cut)), F.lit("..."))).otherwise(shown)
+    called = F.when(F.col("name") == "", "(Default)").otherwise(F.col("name"))
+    line = F.concat(F.repeat(F.lit(" "), c.depth("key_path") * indent), called, F.lit(" ["), c.type_name("reg_type"), F.lit("] = "), shown)
+    return values.select(F.split(c.norm_path("key_path"), r"\\").alias("preorder"), "name", line.alias("line"))
+
+
+#: Columns of a printed line, bytes of a continued one, and its indent.
+WIDTH, CONTINUED, INDENT = 80, 25, "  "
+
+
+def printed_values(values: DataFrame) -> DataFrame:
+    """key_path, name and the text of each value as a printer writes it: all but numbers as typed hex bytes, wrapped at WIDTH columns."""
+    from ..sources.regtext import name_text
+
+    kind, d = F.col("reg_type"), F.coalesce("data", F.lit(b""))
+    number = F.concat(F.lit("=dword:"), F.lower(F.lpad(F.hex(c.dword(d)), 8, "0")))
+    tag = F.when(kind == 3, "=hex:").otherwise(F.concat(F.lit("=hex("), F.when(kind == 11, "b").otherwise(F.lower(F.hex(kind.cast("long")))), F.lit("):")))
+    head = F.concat(name_text("name"), tag)
+    first = F.greatest(F.lit(1), F.floor((WIDTH - 4 - F.char_length(head)) / 3) + 1).cast("int")  # bytes that the first line has room for
+    listed = c.hex_list(d)
+    rest = F.regexp_replace(F.substring(listed, 3 * first + 1, F.length(listed)), f"(.{{{3 * CONTINUED - 1}}}),", f"$1,\\\\\n{INDENT}")
+    wrapped = F.when(F.octet_length(d) > first, F.concat(F.substring(listed, F.lit(1), 3 * first - 1), F.lit(f",\\\n{INDENT}"), rest)).otherwise(listed)
+    return values.select("key_path", "name", F.when((kind == 4) & (F.octet_length(d) >= 4), F.concat(name_text("name"), number)).otherwise(F.concat(head, wrapped)).alias("line"))
+
+
+def printed_keys(keys: DataFrame) -> DataFrame:
+    """path and line of each key as a printer writes it: a separator in front, no root's name."""
+    return keys.select("path", F.concat(F.lit("[\\"), c.clean_path("path"), F.lit("]")).alias("line"))
+
+
 def json_keys(keys: DataFrame, values: DataFrame) -> DataFrame:
     """One JSON object for each key, its values sorted by name. values: reg_type, data."""
     shown = F.struct(F.when(F.col("name") == "", "(Default)").otherwise(F.col("name")).alias("name"), c.type_name("reg_type").alias("type"), c.display("reg_type", "data").alias("value"))

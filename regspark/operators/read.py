@@ -28,7 +28,25 @@ def find(keys: DataFrame, path: str) -> DataFrame:
 
 
 def get_child(keys: DataFrame, parent: str, name: str) -> DataFrame:
-    return keys.where((F.lower("parent_path") == norm(parent)) & (F.lower("name") == name.lower()))
+    """The child of that name: a path, so the filter reaches a stored table."""
+    top = norm(parent)
+    return keys.where(F.col("path_norm") == (f"{top}{c.SEP}{name.lower()}" if top else name.lower()))
+
+
+def match_children(keys: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: parent_path and name. Keys that match, by parent and hash of the name first, then by the name itself."""
+    side = lambda df, p, n: df.withColumns({"_p": F.lower(p), "_h": c.lh_hash(n), "_n": F.upper(n)})
+    w = side(wanted, "parent_path", "name").select("_p", "_h", "_n").distinct()
+    return side(keys, "parent_path", "name").join(w, ["_p", "_h", "_n"], "left_semi").select(keys.columns)
+
+
+def annotate(ops: DataFrame, keys: DataFrame) -> DataFrame:
+    """The paths of a plan and those above them, with whether the store has each and how many operations aim at it."""
+    way = ops.select(F.explode(c.ancestors("path_norm", itself=True)).alias("path_norm")).distinct()
+    aimed = ops.groupBy("path_norm").agg(F.count("*").alias("n_ops"))
+    there = keys.select("path_norm").distinct().withColumn("there", F.lit(True))
+    out = way.join(aimed, "path_norm", "left").join(there, "path_norm", "left")
+    return out.select("path_norm", F.coalesce("n_ops", F.lit(0)).alias("n_ops"), F.coalesce("there", F.lit(False)).alias("exists"))
 
 
 def list_keys(keys: DataFrame, top: str = "", recursive: bool = True, max_depth: int | None = None) -> DataFrame:
@@ -47,7 +65,9 @@ def parent_of(keys: DataFrame, path: str) -> DataFrame:
 
 
 def list_values(values: DataFrame, path: str) -> DataFrame:
-    return values.where(c.norm_path("key_path") == norm(path))
+    """Values of a key; where the table has key_norm, the filter reaches it."""
+    key = F.col("key_norm") if "key_norm" in values.columns else c.norm_path("key_path")
+    return values.where(key == norm(path))
 
 
 def get_value(values: DataFrame, path: str, name: str) -> DataFrame:
@@ -67,25 +87,29 @@ def tree(keys: DataFrame, top: str = "", max_depth: int | None = None) -> DataFr
     return list_keys(keys, top, True, max_depth).withColumn("preorder_key", F.split("path_norm", r"\\"))
 
 
-def walk(edges: DataFrame, root: DataFrame, limit: int = 1024) -> DataFrame:
+def walk(edges: DataFrame, root: DataFrame) -> DataFrame:
     """Nodes reachable from root over (parent, child) offsets, level by level; a node met again is not followed.
 
     edges: parent, child. root: node. Returns node and level. Each level is a
-    join with the last one only, cut by a checkpoint every few levels.
+    join with the last one only; lineage is cut by a checkpoint every few levels
+    where there is a folder for it. It ends when a level is empty, however deep.
     """
     seen = root.select("node").distinct().withColumn("level", F.lit(0))
-    last, level = seen, 0
-    while level < limit:
+    last, level, held = seen, 0, []
+    while True:
         level += 1
         new = last.join(edges, last.node == edges.parent).select(F.col("child").alias("node")).distinct()
         new = new.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)).persist()
+        held.append(new)
         if new.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(new)
         if level % 8 == 0 and edges.sparkSession.sparkContext.getCheckpointDir():
             seen = seen.checkpoint()
+            for x in held[:-1]:
+                x.unpersist()
+            held = held[-1:]
         last = new
-    return seen
 
 
 def missing(keys: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -34,6 +34,47 @@ def patch(image: bytes, repairs: list[tuple[int, str, int]]) -> tuple[bytes, lis
     return bytes(data), log
 
 
+def safe(repairs: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds `safe`: the patch lies inside the image, is aligned, and no other patch of the image touches its four bytes."""
+    size = files.select("hive_id", F.octet_length("content").alias("_size"))
+    mine = F.when(F.col("kind") == "sequence", 8).when(F.col("kind") == "checksum", 508).otherwise(F.col("offset"))
+    r = repairs.join(size, "hive_id", "left").withColumn("_at", mine)
+    same = r.groupBy("hive_id", "_at").agg(F.count("*").alias("_n"))
+    fits = (F.col("_at") >= 0) & (F.col("_at") + 4 <= F.col("_size")) & (F.col("_at") % 4 == 0)
+    return r.join(same, ["hive_id", "_at"]).withColumn("safe", F.coalesce(fits & (F.col("_n") == 1), F.lit(False))).select(*repairs.columns, "safe")
+
+
+def untouched(before: bytes, after: bytes, places: list[int]) -> bool:
+    """Nothing but the four bytes at each place has changed."""
+    if len(before) != len(after):
+        return False
+    one, two = bytearray(before), bytearray(after)
+    for at in places:
+        one[at : at + 4] = two[at : at + 4] = b"\0" * 4
+    return one == two
+
+
+#: An image under this size is no whole image.
+LEAST_IMAGE = 4096
+
+
+def backup(files: DataFrame, store: str, label: str) -> None:
+    """Keeps the images of `files` (hive_id, content) under a label, with their sums."""
+    files.select("hive_id", "content", F.octet_length("content").alias("size"), F.sha2("content", 256).alias("sum")).write.mode("errorifexists").parquet(f"{store}/label={label}")
+
+
+def backups(spark, store: str) -> DataFrame:
+    """label, hive_id, size and valid of all that is kept: large enough, with a header, and as it was when kept."""
+    b = spark.read.parquet(store)
+    valid = (F.col("size") >= LEAST_IMAGE) & (F.substring("content", 1, 4) == F.lit(b"regf")) & (F.sha2("content", 256) == F.col("sum"))
+    return b.select(F.col("label").cast("string").alias("label"), "hive_id", "size", valid.alias("valid"))
+
+
+def restore(spark, store: str, label: str) -> DataFrame:
+    """hive_id and content as kept under a label."""
+    return spark.read.parquet(f"{store}/label={label}").select("hive_id", "content")
+
+
 def apply(files: DataFrame, repairs: DataFrame, dry_run: bool = False) -> DataFrame:
     """files: hive_id, content. hive_id, content after the repairs, and the log."""
     per = repairs.groupBy("hive_id").agg(F.collect_list(F.struct("offset", "kind", "value")).alias("todo"))

@@ -51,3 +51,9 @@ def with_ancestors(keys: DataFrame, hits: DataFrame) -> DataFrame:
 def filter_tree(keys: DataFrame, text: str) -> DataFrame:
     """Keys whose name has the text, with their ancestors; under three characters filter nothing."""
     return keys if len(text) < 3 else with_ancestors(keys, search_keys(keys, text))
+
+
+def filter_paths(keys: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: path, in any spelling. The keys of these paths that exist, and those above them."""
+    w = wanted.select(c.norm_path("path").alias("path_norm")).distinct()
+    return with_ancestors(keys, keys.join(w, "path_norm", "left_semi"))

@@ -13,8 +13,9 @@ def totals(keys: DataFrame, values: DataFrame) -> DataFrame:
     return k.join(values.agg(F.count("*").alias("n_values"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size")))  # one row each
 
 
-def by_level(keys: DataFrame, most: int = 10) -> DataFrame:
-    return keys.where(F.col("depth") <= most).groupBy("depth").agg(F.count("*").alias("n"))
+def by_level(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """n of each level; those beyond `most` are left out only where it is given."""
+    return (keys if most is None else keys.where(F.col("depth") <= most)).groupBy("depth").agg(F.count("*").alias("n"))
 
 
 def by_type(values: DataFrame) -> DataFrame:
@@ -59,6 +60,31 @@ def cell_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("sig", "allocated").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+def cells_by_use(cells: DataFrame, refs: DataFrame) -> DataFrame:
+    """Cells in use by signature and by what refers to them: n and bytes."""
+    use = refs.select("hive_id", F.col("dst").alias("off"), "kind").distinct()
+    c_ = cells.where("allocated").join(use, ["hive_id", "off"], "left").withColumn("kind", F.coalesce("kind", F.lit("root or none")))
+    return c_.groupBy("hive_id", "sig", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+def bin_use(hbins: DataFrame, cells: DataFrame) -> DataFrame:
+    """hive_id, abs_off, used, capacity and efficiency of each bin, from its allocated cells."""
+    used = cells.groupBy("hive_id", F.col("hbin_off").alias("abs_off")).agg(F.sum(F.when(F.col("allocated"), F.col("size")).otherwise(0)).alias("used"))
+    b = hbins.select("hive_id", "abs_off", (F.col("size") - 32).alias("capacity")).join(used, ["hive_id", "abs_off"], "left")
+    return b.withColumn("efficiency", F.round(c.percent(F.coalesce("used", F.lit(0)), F.col("capacity")), 4))
+
+
+def bin_summary(bins: DataFrame) -> DataFrame:
+    """Per hive: bins, the share in use over all, and the mean of the bins' shares."""
+    return bins.groupBy("hive_id").agg(F.count("*").alias("n"), F.round(c.percent(F.sum("used"), F.sum("capacity")), 4).alias("overall"), F.round(F.avg("efficiency"), 4).alias("average"))
+
+
+def log_counts(ops: DataFrame) -> DataFrame:
+    """Per file of a parsed log: different keys, values set and deletes of either."""
+    o = F.col("op")
+    return ops.groupBy("file").agg(F.count_distinct(F.when(o == "create_key", F.col("path_norm"))).alias("n_keys"), F.count_if(o == "set_value").alias("n_values"), F.count_if(o.isin("delete_key", "delete_value")).alias("n_deletes"))
+
+
 def storage(cells: DataFrame) -> DataFrame:
     free = F.sum(F.when(~F.col("allocated"), F.col("size")).otherwise(0))
     g = cells.groupBy("hive_id").agg(F.sum("size").alias("bytes"), free.alias("free"))

@@ -20,9 +20,16 @@ def mounted(df: DataFrame, path_col: str, mount: str, flatten: str | None = None
 
 
 def link_keys(parent: DataFrame, child: DataFrame) -> DataFrame:
-    """Keys of both, and of the way to what is mounted; the parent's rows win."""
-    way = child.select(F.explode(c.ancestors("path", itself=True)).alias("path"))
-    return parent.select("path").unionByName(way).dropDuplicates(["path"])
+    """Keys of both, and of the way to what is mounted, alike without case; the parent's spelling wins, then the least."""
+    way = child.select(F.explode(c.ancestors("path", itself=True)).alias("path"), F.lit(1).alias("side"))
+    both = parent.select("path", F.lit(0).alias("side")).unionByName(way)
+    return both.groupBy(F.lower("path").alias("path_norm")).agg(F.min(F.struct("side", "path")).alias("k")).select("k.path")
+
+
+def conflicts(parent: DataFrame, child: DataFrame) -> DataFrame:
+    """key_path and name of the child's values that the parent has too, without case."""
+    key = [F.lower("key_path").alias("_p"), F.lower("name").alias("_n")]
+    return child.select("key_path", "name", *key).join(parent.select(*key).distinct(), ["_p", "_n"], "left_semi").select("key_path", "name")
 
 
 def link_values(parent: DataFrame, child: DataFrame, conflict: str = OVERWRITE) -> DataFrame:

@@ -64,7 +64,7 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key_path, name, reg_type, size, string_val and number_val of customers' and orders' columns."""
     low = _unpivot(_customers(spark, sf_dir), "cpath", _typed("Segment", 1, F.col("c_mktsegment")), _typed("Nation", 4, F.col("c_nationkey")), _typed("Key", 11, F.col("c_custkey")))
     leaf = _unpivot(_orders(spark, sf_dir), "opath", _typed("Status", 1, F.col("o_orderstatus")), _typed("Key", 11, F.col("o_orderkey")), _typed("", 1, F.col("o_orderpriority")))
-    return low.unionByName(leaf)
+    return low.unionByName(leaf).withColumn("key_norm", F.lower("key_path"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:

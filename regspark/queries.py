@@ -118,12 +118,14 @@ def stat_keys(spark, sf):
     return read.with_counts(views.keys(spark, sf), views.values(spark, sf)).select("path", "subkey_n", "value_n")
 
 
-@query(rf"WITH {_TREE} SELECT path, row_number() OVER (ORDER BY string_split(lower(path), '\')) AS place FROM keys WHERE depth <= 2")
+@query(rf"WITH {_TREE} SELECT path, lower(path) AS preorder, row_number() OVER (PARTITION BY parent_path ORDER BY lower(name)) AS place FROM keys")
 def tree_preorder(spark, sf):
+    """Each key's place among its parent's children, and the text that puts all keys in pre-order."""
     from pyspark.sql import Window
 
-    t = read.tree(views.keys(spark, sf), max_depth=2)  # two levels are a handful of rows
-    return t.select("path", F.row_number().over(Window.orderBy("preorder_key")).cast("long").alias("place"))
+    t = read.tree(views.keys(spark, sf))
+    place = F.row_number().over(Window.partitionBy("parent_path").orderBy(F.lower("name"))).cast("long")
+    return t.select("path", F.array_join("preorder_key", "\\").alias("preorder"), place.alias("place"))
 
 
 @query(f"WITH RECURSIVE {_TREE}, walk AS (SELECT 'AFRICA' AS node, 0 AS level UNION ALL SELECT k.path, level + 1 FROM walk JOIN keys k ON k.parent_path = node) SELECT level, count(*) AS n FROM walk GROUP BY level")
@@ -505,31 +507,39 @@ def regf_roundtrip(spark, sf):
 def verify_images(spark, sf):
     from .sources import regf
 
-    files = _hives(spark, sf)
-    return checks.verify(*(regf.take_apart(files, x, id_col="hive_id") for x in ("hives", "hbins", "cells")))
+    t = regf.tables(_hives(spark, sf), id_col="hive_id")
+    return checks.verify(t["hives"], t["hbins"], t["cells"])
+
+
+_IN_USE = "SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey"
+#: Records of an image: its customers, their nations and the root.
+_NK = "nk AS (SELECT n_regionkey AS k, (count(DISTINCT c_custkey) + count(DISTINCT n_nationkey) + 1)::BIGINT AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)"
 
 
-@query("SELECT r_name AS hive_id, 'warning' AS severity, 'sequence numbers differ' AS issue FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey) UNION ALL SELECT r_name, 'error', 'checksum differs' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey)")
+@query(f"WITH {_NK} SELECT r_name AS hive_id, 'warning' AS severity, 'sequence numbers differ' AS issue, 1::BIGINT AS n FROM region WHERE r_regionkey IN ({_IN_USE}) UNION ALL SELECT r_name, 'error', 'checksum differs', 1 FROM region WHERE r_regionkey IN ({_IN_USE}) UNION ALL SELECT r_name, 'info', 'no last write time', n FROM nk JOIN region ON k = r_regionkey")
 def diagnose_images(spark, sf):
     """Images whose second sequence number was overwritten."""
     from .sources import regf
 
     files = _hives(spark, sf)
     dirty = files.withColumn("content", F.overlay("content", F.lit(b"\x09\x00\x00\x00"), F.lit(9)))
-    t = {x: regf.take_apart(dirty, x, id_col="hive_id") for x in ("hives", "hbins", "cells", "keys", "refs")}
-    return checks.diagnose(t["hives"], t["hbins"], t["cells"], t["keys"], t["refs"]).where("severity <> 'info'").select("hive_id", "severity", "issue")
+    t = regf.tables(dirty, id_col="hive_id")
+    found = checks.diagnose(t["hives"], t["hbins"], t["cells"], t["keys"], t["refs"], t["errors"])
+    return found.groupBy("hive_id", "severity", "issue").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_TREE} SELECT lower(path) AS path_norm, repeat(' ', (depth - 1) * 2) || name AS line FROM keys WHERE depth <= 3")
+@query(f"WITH {_TREE} SELECT lower(path) AS path_norm, repeat(' ', (depth - 1) * 2) || name AS line FROM keys")
 def text_tree(spark, sf):
-    return export.text_tree(views.keys(spark, sf), max_depth=3).select(F.array_join("preorder", "\\").alias("path_norm"), "line")
+    return export.text_tree(views.keys(spark, sf)).select(F.array_join("preorder", "\\").alias("path_norm"), "line")
 
 
-@query(f"WITH {_TREE} SELECT path, (SELECT count(*) FROM vals WHERE key_path = path)::INTEGER AS n FROM keys WHERE depth = 3")
+@query(f"WITH {_TREE}, v AS (SELECT key_path, CASE WHEN name = '' THEN '(Default)' ELSE name END AS name, CASE reg_type WHEN 1 THEN 'REG_SZ' WHEN 4 THEN 'REG_DWORD' ELSE 'REG_QWORD' END AS type, string_val, number_val FROM vals) SELECT path, v.name, type, coalesce(string_val, number_val::VARCHAR) AS value FROM keys LEFT JOIN v ON key_path = path")
 def json_keys(spark, sf):
-    v = views.values(spark, sf).withColumn("data", F.when(F.col("reg_type") == 1, c.sz_bytes("string_val")).otherwise(c.qword_bytes("number_val")))
-    j = export.json_keys(views.keys(spark, sf).where("depth = 3"), v)
-    return j.select("path", F.json_array_length(F.get_json_object("json", "$.values")).alias("n"))
+    v = views.values(spark, sf).withColumn("data", F.when(F.col("reg_type") == 1, c.sz_bytes("string_val")).when(F.col("reg_type") == 4, c.dword_bytes("number_val")).otherwise(c.qword_bytes("number_val")))
+    j = export.json_keys(views.keys(spark, sf), v)
+    back = F.from_json("json", "path string, name string, depth int, values array<struct<name: string, type: string, value: string>>")
+    rows = j.select(back.alias("j")).select("j.path", F.explode_outer("j.values").alias("v"))
+    return rows.select("path", "v.name", "v.type", "v.value")
 
 
 @query("SELECT s_suppkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', b / 1024) || ' KB' ELSE printf('%.1f', b / 1048576) || ' MB' END AS shown FROM (SELECT s_suppkey, s_suppkey * s_suppkey * 8 AS b FROM supplier)")
@@ -540,3 +550,231 @@ def human_bytes(spark, sf):
 @query(f"WITH {_OPS} SELECT op, count(*) AS n, count(DISTINCT path) AS n_paths FROM ops GROUP BY 1")
 def op_counts(spark, sf):
     return _ops(spark, sf).groupBy("op").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_paths"))
+
+
+# ---- printers, plans, sessions and repair
+
+
+@query(rf"""WITH {_LINES},
+u AS (SELECT path, p_name, array_to_string(list_transform(string_split(p_name, ''), lambda x: lower(hex(x)) || ',00'), ',') || ',00,00' AS hex FROM pk),
+f AS (SELECT *, greatest(1, (80 - 4 - 18) // 3 + 1) AS k FROM u)
+SELECT path, '"Name\"x\\"=hex(1):' || CASE WHEN length(hex) > 3 * k THEN substr(hex, 1, 3 * k - 1) || ',\' || chr(10) || '  ' || regexp_replace(substr(hex, 3 * k + 1), '(.{{74}}),', '\1,\\' || chr(10) || '  ', 'g') ELSE hex END AS line FROM f
+UNION ALL SELECT path, '@=dword:' || printf('%08x', p_size) FROM pk UNION ALL SELECT path, '[\' || path || ']' FROM pk""")
+def reg_print_lines(spark, sf):
+    k, v = _parts(spark, sf)
+    return export.printed_values(v).select(F.col("key_path").alias("path"), "line").unionByName(export.printed_keys(k))
+
+
+@query(f"WITH {_TREE} SELECT lower(key_path) AS path_norm, name, repeat('  ', len(string_split(key_path, '\\'))) || CASE WHEN name = '' THEN '(Default)' ELSE name END || ' [REG_SZ] = ' || string_val AS line FROM vals WHERE reg_type = 1")
+def text_values(spark, sf):
+    v = views.values(spark, sf).where("reg_type = 1").withColumn("data", c.sz_bytes("string_val"))
+    return export.text_values(v).select(F.array_join("preorder", "\\").alias("path_norm"), "name", "line")
+
+
+@query(f"WITH {_TREE}, {_WANTED} SELECT k.path FROM keys k JOIN wanted w ON lower(w.path) = lower(k.path)")
+def match_by_hash(spark, sf):
+    w = _wanted(spark, sf).select(c.parent("path").alias("parent_path"), c.last_part("path").alias("name"))
+    return read.match_children(views.keys(spark, sf), w).select("path")
+
+
+@query(f"WITH {_OPS}, {_TREE.replace('keys AS', 'tkeys AS').strip()}, way AS (SELECT DISTINCT top AS path_norm FROM anc), aimed AS (SELECT path AS path_norm, count(*) AS n FROM ops GROUP BY 1), users AS (SELECT DISTINCT 'users\\u' || (user_id % 5) AS path_norm FROM events) SELECT path_norm, coalesce(n, 0)::BIGINT AS n_ops, path_norm IN (SELECT path_norm FROM users) AS exists FROM way LEFT JOIN aimed USING (path_norm)")
+def annotate_plan(spark, sf):
+    users = spark.read.parquet(f"{sf}/events.parquet").select(F.concat(F.lit("users\\u"), F.col("user_id") % 5).alias("path_norm"))
+    return read.annotate(_ops(spark, sf), users)
+
+
+@query("SELECT n_name AS file, count(c_custkey) AS n_keys, count(c_custkey) * 2 AS n_values, count(c_custkey) AS n_deletes FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def reg_log_counts(spark, sf):
+    """Files in which each customer's section comes twice, with a value each, and a delete."""
+    from .sources import regtext
+
+    cust = spark.read.parquet(f"{sf}/customer.parquet").join(spark.read.parquet(f"{sf}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"))
+    part = F.concat(F.lit("[C"), "c_custkey", F.lit("]\r\n\"Segment\"=\""), "c_mktsegment", F.lit("\"\r\n[c"), "c_custkey", F.lit("]\r\n@=dword:00000001\r\n\"Old\"=-"))
+    files = cust.groupBy(F.col("n_name").alias("path")).agg(F.concat(F.lit(regtext.HEADER + "\r\n"), F.array_join(F.collect_list(part), "\r\n")).alias("content"))
+    return stats.log_counts(regtext.parse_files(files))
+
+
+@query("SELECT c_custkey, n_name AS file FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def reg_first_create(spark, sf):
+    """A key is created once in a file, by its first section, whatever the case of later ones."""
+    from .sources import regtext
+
+    cust = spark.read.parquet(f"{sf}/customer.parquet").join(spark.read.parquet(f"{sf}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"))
+    part = F.concat(F.lit("[C"), "c_custkey", F.lit("]\r\n[c"), "c_custkey", F.lit("]"))
+    files = cust.groupBy(F.col("n_name").alias("path")).agg(F.concat(F.lit(regtext.HEADER + "\r\n"), F.array_join(F.collect_list(part), "\r\n")).alias("content"))
+    ops = regtext.parse_files(files).where(F.col("op") == CREATE)
+    return ops.select(F.expr("substring(path, 2)").cast("long").alias("c_custkey"), "file")
+
+
+@query(f"WITH {_OPS} SELECT path, name, number FROM (SELECT path, vname AS name, number, op, row_number() OVER (PARTITION BY path, vname ORDER BY k % 2 DESC, seq DESC) AS r FROM (SELECT o.*, event_id AS k FROM ops o) WHERE op = 'set_value') WHERE r = 1")
+def concat_logs(spark, sf):
+    """Two logs one after the other: what the second sets wins, whatever the times."""
+    ops = _ops(spark, sf).where(F.col("op") == SET)
+    both = oplog.concat_logs(ops.where(F.col("seq.id") % 2 == 0), ops.where(F.col("seq.id") % 2 == 1))
+    return oplog.dedup(both).select("path", "name", "number")
+
+
+@query(f"WITH {_TREE}, {_LINK} SELECT c.key_path, c.name FROM child c JOIN vals v ON lower(c.key_path) = lower(v.key_path) AND lower(c.name) = lower(v.name)")
+def link_conflicts(spark, sf):
+    return link.conflicts(*_link_sides(spark, sf))
+
+
+@query(rf"WITH {_TREE}, way AS (SELECT DISTINCT unnest(list_transform(range(1, 4), lambda i: array_to_string(string_split(cpath, '\')[1:i], '\'))) AS path FROM cust WHERE c_custkey % 5 <> 0) SELECT path FROM keys WHERE path IN (SELECT path FROM way)")
+def filter_by_paths(spark, sf):
+    return search.filter_paths(views.keys(spark, sf), _wanted(spark, sf)).select("path")
+
+
+@query(f"WITH {_NK}, c AS (SELECT n_regionkey AS k, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) SELECT r_name AS hive_id, 'nk' AS sig, nk.n FROM nk JOIN region ON k = r_regionkey UNION ALL SELECT r_name, 'vk', c.n FROM c JOIN region ON k = r_regionkey UNION ALL SELECT r_name, 'sk', 1 FROM nk JOIN region ON k = r_regionkey")
+def cells_by_kind(spark, sf):
+    from .sources import regf
+
+    t = regf.tables(_hives(spark, sf), id_col="hive_id")
+    use = stats.cells_by_use(t["cells"], t["refs"]).where("sig in ('nk', 'vk', 'sk')")
+    return use.groupBy("hive_id", "sig").agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {_NK} SELECT r_name AS hive_id, n AS ref_count, n AS used, true AS holds FROM nk JOIN region ON k = r_regionkey")
+def security_counts(spark, sf):
+    from .sources import regf
+
+    t = regf.tables(_hives(spark, sf), id_col="hive_id")
+    return checks.security_counts(t["security"], t["refs"]).select("hive_id", "ref_count", "used", "holds")
+
+
+@query("SELECT r_name AS hive_id, 0::BIGINT AS bad_bins, true AS within FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey)")
+def bin_efficiency(spark, sf):
+    """Bins of written images: none holds more than it can, and the whole is between its parts."""
+    from .sources import regf
+
+    t = regf.tables(_hives(spark, sf), id_col="hive_id")
+    bins = stats.bin_use(t["hbins"], t["cells"])
+    bad = bins.groupBy("hive_id").agg(F.count_if((F.col("efficiency") > 100) | (F.col("used") <= 0)).alias("bad_bins"), F.min("efficiency").alias("lo"), F.max("efficiency").alias("hi"))
+    return bad.join(stats.bin_summary(bins), "hive_id").select("hive_id", "bad_bins", ((F.col("overall") >= F.col("lo")) & (F.col("overall") <= F.col("hi"))).alias("within"))
+
+
+@query("SELECT 'D' || doc_id AS name, md5(text) AS sum FROM documents WHERE source = (SELECT min(source) FROM documents)")
+def big_values(spark, sf):
+    """Texts as values, those over one block in several: written to an image and read back."""
+    from .sources import hivewriter, regf
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = d.join(d.agg(F.min("source").alias("source")), "source").select(F.lit("h").alias("hive_id"), F.lit("Docs").alias("key_path"), F.concat(F.lit("D"), "doc_id").alias("name"), F.lit(1).alias("reg_type"), c.sz_bytes("text").alias("data"))
+    image = hivewriter.write(d.select("hive_id", F.col("key_path").alias("path")).distinct(), d).select("hive_id", F.col("image").alias("content"))
+    return regf.take_apart(image, "values", tolerant=False, id_col="hive_id").select("name", F.md5(F.encode(c.utf16("data"), "UTF-8")).alias("sum"))
+
+
+@query("SELECT count(*) AS n, 2 + (CASE WHEN count(*) > 1024 THEN (count(*) + 1023) // 1024 ELSE 0 END)::BIGINT AS lists FROM customer")
+def wide_key(spark, sf):
+    """All customers under one key: over 1,024 subkeys the list is one of lists."""
+    from .sources import hivewriter, regf
+
+    cust = spark.read.parquet(f"{sf}/customer.parquet").select(F.lit("h").alias("hive_id"), F.concat(F.lit("All\\C"), "c_custkey").alias("path"))
+    none = cust.select("hive_id", F.col("path").alias("key_path"), F.lit("").alias("name"), F.lit(0).alias("reg_type"), F.lit(None).cast("binary").alias("data")).where("false")
+    t = regf.tables(hivewriter.write(cust, none).select("hive_id", F.col("image").alias("content")), tolerant=False, id_col="hive_id")
+    return t["keys"].where("depth = 2").agg(F.count("*").alias("n")).join(t["refs"].where("kind = 'list'").agg(F.count("*").alias("lists")))
+
+
+@query("SELECT n_name || ' é™ ' || chr(26085) AS wide, n_name || ' é™' AS narrow, n_nationkey FROM nation")
+def name_encodings(spark, sf):
+    """Names that fit one byte a character and names that need UTF-16, through an image."""
+    from .sources import hivewriter, regf
+
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    key = n.select(F.lit("h").alias("hive_id"), F.concat("n_name", F.lit(" é™")).alias("path"), F.concat("n_name", F.lit(" é™ "), F.lit("日")).alias("name"), "n_nationkey")
+    v = key.select("hive_id", F.col("path").alias("key_path"), "name", F.lit(4).alias("reg_type"), c.dword_bytes("n_nationkey").alias("data"))
+    image = hivewriter.write(key.select("hive_id", "path"), v).select("hive_id", F.col("image").alias("content"))
+    got = regf.take_apart(image, "values", tolerant=False, id_col="hive_id")
+    return got.select(F.col("name").alias("wide"), F.col("key_path").alias("narrow"), c.dword("data").alias("n_nationkey"))
+
+
+@query("SELECT r_name AS hive_id, length(place) AS name_bytes, 4 + 76 + length(place) AS record, place AS path FROM (SELECT r_name, n_name AS place FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey IN (SELECT c_nationkey FROM customer))")
+def record_sizes(spark, sf):
+    from .api import Tree
+
+    k, _ = Tree.from_images(_hives(spark, sf).withColumnRenamed("hive_id", "path")).layout()
+    return k.where(~F.col("path").contains("\\") & (F.col("path") != "")).select("hive_id", "name_bytes", "record", "path")
+
+
+def _broken(spark, sf):
+    """Images with a second sequence number, a sum and a bin's offset that are wrong."""
+    wrong = F.overlay("content", F.lit(b"\x09\x00\x00\x00"), F.lit(9))
+    wrong = F.overlay(wrong, F.lit(b"\x01\x02\x03\x04"), F.lit(509))
+    return _hives(spark, sf).withColumn("content", F.overlay(wrong, F.lit(b"\x00\x50\x00\x00"), F.lit(4096 + 5)))
+
+
+@query(f"SELECT r_name AS hive_id, severity, n, repairable FROM region, (VALUES ('warning', 1::BIGINT, 1::BIGINT), ('error', 2, 2)) AS t(severity, n, repairable) WHERE r_regionkey IN ({_IN_USE})")
+def diagnose_broken(spark, sf):
+    from .sources import regf
+
+    t = regf.tables(_broken(spark, sf), id_col="hive_id")
+    found = checks.diagnose(*(t[x] for x in ("hives", "hbins", "cells", "keys", "refs", "errors"))).where("severity <> 'info'")
+    return found.groupBy("hive_id", "severity").agg(F.count("*").alias("n"), F.count_if("repair.auto_apply").alias("repairable"))
+
+
+@query("SELECT r_name AS hive_id, unnest(['cells', 'checksum', 'file_size', 'hbins', 'root', 'sequence']) AS \"check\", true AS holds FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey)")
+def repair_images(spark, sf):
+    """Broken images after the repairs that are safe: every check holds again."""
+    from .operators import repair
+    from .sources import regf
+
+    files = _broken(spark, sf)
+    t = regf.tables(files, id_col="hive_id")
+    found = checks.diagnose(*(t[x] for x in ("hives", "hbins", "cells", "keys", "refs", "errors")))
+    todo = repair.safe(repair.plan(found), files).where("safe").drop("safe")
+    after = regf.tables(repair.apply(files, todo), id_col="hive_id")
+    return checks.verify(after["hives"], after["hbins"], after["cells"])
+
+
+@query(f"SELECT r_name AS hive_id, line FROM region, (VALUES ('0x00000004,REGF,sequence numbers differ'), ('0x000001fc,REGF,checksum differs'), ('0x00001004,HBIN,offset field differs')) AS t(line) WHERE r_regionkey IN ({_IN_USE})")
+def diagnostic_annotations(spark, sf):
+    from .sources import regf
+
+    t = regf.tables(_broken(spark, sf), id_col="hive_id")
+    found = checks.diagnose(*(t[x] for x in ("hives", "hbins", "cells", "keys", "refs", "errors"))).where("severity <> 'info'")
+    return export.hex_annotations(found).select("hive_id", "line")
+
+
+def _scratch(spark):
+    """A new folder that all executors share: the checkpoint folder's, or a temporary one where none is set and the master is local."""
+    import tempfile
+    import uuid
+
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="regspark-")
+    return f"{d}/{uuid.uuid4().hex}"
+
+
+@query(f"SELECT r_name AS hive_id, true AS valid, true AS same FROM region WHERE r_regionkey IN ({_IN_USE})")
+def backup_roundtrip(spark, sf):
+    from .operators import repair
+
+    store, files = _scratch(spark), _hives(spark, sf)
+    repair.backup(files, store, "one")
+    back = repair.restore(spark, store, "one").select("hive_id", F.sha2("content", 256).alias("got"))
+    known = files.select("hive_id", F.sha2("content", 256).alias("want"))
+    return repair.backups(spark, store).where("label = 'one'").join(back, "hive_id").join(known, "hive_id").select("hive_id", "valid", (F.col("got") == F.col("want")).alias("same"))
+
+
+@query(rf"SELECT version, path FROM (SELECT 1::BIGINT AS version, r_name AS path FROM region UNION ALL SELECT 2, r_name FROM region UNION ALL SELECT 2, 'Added' UNION ALL SELECT 2, 'Added\N' || n_nationkey FROM nation UNION ALL SELECT 3, r_name FROM region)")
+def session_versions(spark, sf):
+    """A version, a session that is rolled back and then commits, and the first version made current again."""
+    from .api import Tree
+    from .plans import session
+
+    store = _scratch(spark)
+    regions = spark.read.parquet(f"{sf}/region.parquet").select(F.lit(0).cast("long").alias("seq"), F.lit(CREATE).alias("op"), F.col("r_name").alias("path"))
+    added = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("seq"), F.lit(CREATE).alias("op"), F.concat(F.lit("Added\\N"), "n_nationkey").alias("path"))
+    log = lambda df: df.select("seq", "op", "path", F.lower("path").alias("path_norm"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("reg_type"), F.lit(None).cast("binary").alias("data"))
+    session.create(Tree.from_ops(log(regions)), store)
+    s = session.Session.begin(spark, store)
+    s.apply(log(regions.withColumn("path", F.lit("Gone")))).rollback()
+    s.apply(log(added)).commit()
+    session.restore(spark, store, 1)
+    out = None
+    for v in session.versions(spark, store):
+        rows = session.open_version(spark, store, v).keys.select(F.lit(v).cast("long").alias("version"), "path")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -22,7 +22,7 @@ REG_TYPES = {
 # Short names of types that patches and commands use.
 TYPE_ALIASES = {
     "NONE": 0, "SZ": 1, "STRING": 1, "EXPAND_SZ": 2, "EXPAND_STRING": 2, "BINARY": 3, "DWORD": 4, "DWORD_LE": 4,
-    "DWORD_BE": 5, "LINK": 6, "MULTI_SZ": 7, "MULTI_STRING": 7, "RESOURCE_LIST": 8, "FULL_RESOURCE_DESCRIPTOR": 9,
+    "DWORD_BE": 5, "DWORD_BIG_ENDIAN": 5, "LINK": 6, "MULTI_SZ": 7, "MULTI_STRING": 7, "RESOURCE_LIST": 8, "FULL_RESOURCE_DESCRIPTOR": 9,
     "RESOURCE_REQUIREMENTS_LIST": 10, "QWORD": 11,
 }
 # Names of root keys that a path may begin with.
@@ -43,11 +43,6 @@ CREATE, DELETE_KEY, SET, DELETE_VALUE = "create_key", "delete_key", "set_value",
 #: Order of a key's operations in a plan.
 PRIORITY = {CREATE: 0, DELETE_KEY: 1, DELETE_VALUE: 2, SET: 3}
 
-KEYS = "path string, path_norm string, parent_path string, name string, depth int, subkey_n long, value_n long, last_write long"
-VALUES = "key_path string, name string, reg_type int, type_name string, size long, data binary, string_val string, string_vals array<string>, dword_val long, qword_val decimal(20,0)"
-OPS = "seq long, file_idx int, op string, path string, path_norm string, name string, reg_type int, data binary"
-DIAGNOSTICS = "hive_id string, severity string, category string, offset long, structure string, issue string, expected string, actual string, key_path string, value_name string, repair struct<type:string,description:string,confidence:double,risk:string,auto_apply:boolean>"
-
 
 @dataclass(frozen=True)
 class Limits:

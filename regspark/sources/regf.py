@@ -24,6 +24,7 @@ SCHEMAS = {
     "keys": "hive_id string, key_off long, parent_off long, path string, path_norm string, parent_path string, name string, depth int, subkey_n long, value_n long, last_write_ft long, flags int, name_compressed boolean, class_name string, security_off long",
     "values": "hive_id string, value_off long, key_off long, key_path string, name string, list_pos int, reg_type long, type_name string, size long, inline boolean, name_compressed boolean, data binary",
     "refs": "hive_id string, kind string, src long, dst long",
+    "security": "hive_id string, off long, flink long, blink long, ref_count long, size long, descriptor binary",
     "errors": "hive_id string, off long, issue string",
 }
 NONE = 0xFFFFFFFF
@@ -147,7 +148,7 @@ class Image:
         return out[:size]
 
     def walk(self, root: int) -> None:
-        stack, seen = [(root, None, "", -1)], set()
+        stack, seen, secured = [(root, None, "", -1)], set(), set()
         while stack:
             off, parent, above, depth = stack.pop()
             if off in seen:
@@ -164,10 +165,18 @@ class Image:
                 short = bool(flags & COMPRESSED_KEY)
                 name = _name(c[76 : 76 + nl], short)
                 path = "" if depth < 0 else f"{above}\\{name}" if above else name
-                class_name = _name(self.cell(cls)[:cl], False) if cls != NONE and cl else None
             except (HiveError, struct.error) as e:
                 self.fail(off, str(e))
                 continue
+            class_name = None
+            if cls != NONE and cl:
+                try:
+                    class_name = _name(self.cell(cls)[:cl], False)
+                except (HiveError, struct.error) as e:
+                    self.fail(off, f"class name: {e}")
+            if sk != NONE and sk not in secured:
+                secured.add(sk)
+                self.security(sk)
             for kind, x in (("security", sk), ("class", cls)):
                 if x != NONE:
                     self.tables["refs"].append((self.hive_id, kind, off, x))
@@ -187,6 +196,16 @@ class Image:
                 self.tables["refs"].append((self.hive_id, "key", off, k))
                 stack.append((k, off, path, depth + 1))
 
+    def security(self, off: int) -> None:
+        try:
+            c = self.cell(off)
+            if c[:2] != b"sk":
+                raise HiveError(f"no security record at {off:#x}")
+            _, flink, blink, count, size = struct.unpack_from("<HIIII", c, 2)
+            self.tables["security"].append((self.hive_id, off, flink, blink, count, size, c[20 : 20 + size]))
+        except (HiveError, struct.error) as e:
+            self.fail(off, str(e))
+
     def values(self, key: int, path: str, n: int, off: int) -> None:
         try:
             if n > MOST_VALUES:
@@ -240,6 +259,31 @@ def take_apart(files: DataFrame, table: str, tolerant: bool = True, id_col: str
     return files.select(id_col, content_col).mapInArrow(run, SCHEMAS[table])
 
 
+def tables(files: DataFrame, tolerant: bool = True, id_col: str = "path", content_col: str = "content", max_cell: int = 64 << 20) -> dict[str, DataFrame]:
+    """All tables of all images, each image taken apart once: rows are tagged with their table and kept on disk until unpersisted."""
+    from pyspark import StorageLevel
+    from pyspark.sql import functions as F
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ddl = "kind string, " + ", ".join(f"{name} struct<{', '.join(x.replace(' ', ': ') for x in fields.split(', '))}>" for name, fields in SCHEMAS.items())
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches):
+        for b in batches:
+            for hive, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for name, rows in Image(hive, content or b"", tolerant, max_cell).parse().items():
+                    kind = schema.field(name).type
+                    for i in range(0, len(rows), 10_000):
+                        part = list(zip(*rows[i : i + 10_000], strict=True))
+                        struct_ = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(part, kind, strict=True)], fields=list(kind))
+                        n = len(struct_)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * n), *(struct_ if f.name == name else pa.nulls(n, f.type) for f in list(schema)[1:])], schema=schema)
+
+    tagged = files.select(id_col, content_col).mapInArrow(run, ddl).persist(StorageLevel.DISK_ONLY)
+    return {name: tagged.where(F.col("kind") == name).select(f"{name}.*") for name in SCHEMAS}
+
+
 def read(spark: SparkSession, path: str, table: str = "keys", **how) -> DataFrame:
     """One table of all images under a path that any of Spark's file systems can read."""
     return take_apart(spark.read.format("binaryFile").load(path).select("path", "content"), table, **how)
