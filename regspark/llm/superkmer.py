@@ -34,7 +34,7 @@ from . import textkit as t
 from .common import map_arrow, materialise
 
 #: Strings of one minimiser beyond which they are cut once more.
-HOT = 500
+HOT = 250
 #: Bytes of strings that are sorted together.
 SORTED = 1 << 20
 #: Rows that are sent on together.
@@ -300,28 +300,24 @@ def _judge_hot(strings: DataFrame, sym: Symbols, rule: str, level: int = 1) -> D
     pieces = materialise(map_arrow(strings.select("mini", "body", "doc", "many", "n", "packed"), _pieces(sym, level), "mini long, body long, doc long, many boolean, base int, n int, key long, part long, packed binary"))
     one = pieces.groupBy("key", "part").agg(F.min("doc").alias("least"), F.count("*").alias("times"), F.bool_or("many").alias("any"), F.max("n").alias("n"), F.max("packed").alias("packed"))
     one = materialise(one)
+    # tables of their own, else a join keeps a common key's rows in one task; what is alone in its bucket ends here
+    keys = materialise(one.groupBy("key").agg(F.count("*").alias("contents"), F.sum("times").alias("total")).where("total > 1").select("key", "contents"))
+    one = one.join(keys, "key")
     many = F.col("any") | (F.col("times") > 1)
     whole = F.col("doc") > F.col("least") if rule == "earlier" else many
-    # a table of its own, else the next join keeps a common piece's rows in one task
-    known = materialise(pieces.drop("packed").join(one.select("key", "part", "least", "times", "any"), ["key", "part"]).withColumn("whole", whole))
+    known = materialise(pieces.drop("packed").join(one.select("key", "part", "least", "times", "any", "contents"), ["key", "part"]).withColumn("whole", whole).where("whole or contents > 1"))
     all_of = known.where("whole").select("mini", "body", F.col("base").alias("a"), (F.col("base") + F.col("n")).alias("z"))
     if sym.levels[level] == sym.k:
         return all_of
-    asked = one.select(F.col("key").alias("mini"), F.col("part").alias("body"), many.alias("many"), "n", F.col("least").alias("doc"), "packed")
+    asked = one.where("contents > 1").select(F.col("key").alias("mini"), F.col("part").alias("body"), many.alias("many"), (F.col("contents") > HOT).alias("hot"), "n", F.col("least").alias("doc"), "packed")
     found = _judge(asked, sym, rule, level).select(F.col("mini").alias("key"), F.col("body").alias("part"), "a", "z")
     some = known.where("not whole").join(found, ["key", "part"]).select("mini", "body", (F.col("base") + F.col("a")).alias("a"), (F.col("base") + F.col("z")).alias("z"))
     return all_of.unionByName(some)
 
 
 def _judge(strings: DataFrame, sym: Symbols, rule: str, level: int = 0) -> DataFrame:
-    """strings: mini, body, doc, many, n, packed and, if known, hot. Verdicts (mini, body, a, z)."""
-    if "hot" in strings.columns:
-        cold, hot = strings.where("not hot"), strings.where("hot")
-    else:
-        contents = strings.groupBy("mini").agg(F.count("*").alias("contents"))
-        big = materialise(contents.where(F.col("contents") > HOT).select("mini"))
-        some = materialise(contents.where((F.col("contents") > 1) & (F.col("contents") <= HOT)).select("mini"))
-        cold, hot = strings.join(some, "mini", "left_semi"), strings.join(big, "mini", "left_semi")
+    """strings: mini, body, doc, many, hot, n and packed. Verdicts (mini, body, a, z)."""
+    cold, hot = strings.where("not hot"), strings.where("hot")
     dealt = cold.select("mini", "body", "doc", "many", "n", "packed").repartition("mini").sortWithinPartitions("mini")
     found = map_arrow(dealt, _judge_sorted(sym, rule), "mini long, body long, a int, z int")
     if not hot.isEmpty():
