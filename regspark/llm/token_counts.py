@@ -24,7 +24,7 @@ from . import textkit as t
 from .common import map_arrow
 
 #: Distinct pre-tokens whose counts a worker keeps; beyond it, it starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
 MARK = "▁"
 
 
