@@ -169,7 +169,7 @@ class Tree:
     def diagnose(self) -> DataFrame:
         if self.image is None:
             raise ValueError("this tree came from no image")
-        return checks.diagnose(*(self.image[x] for x in ("hives", "hbins", "cells", "keys", "refs", "errors")))
+        return checks.diagnose(*(self.image[x] for x in ("hives", "hbins", "cells", "keys", "refs", "errors", "values")))
 
     def security(self) -> DataFrame:
         """Security records with the counts they store and the keys that refer to them."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cols as c
 from ..schema import Limits
+from ..sources.regf import HEADER_SIZE, NONE, RECORD_FIELDS
 
 
 def _row(rule: str, path: Column, detail: Column, most: int) -> Column:
@@ -70,8 +71,31 @@ def unreadable(errors: DataFrame) -> DataFrame:
     return errors.select("hive_id", severity.alias("severity"), F.lit("structure").alias("category"), F.col("off").alias("offset"), structure.alias("structure"), "issue", none.alias("expected"), none.alias("actual"), none.alias("key_path"), none.alias("value_name"), F.lit(None).cast(kind).alias("repair"))
 
 
-def diagnose(hives: DataFrame, hbins: DataFrame, cells: DataFrame, keys: DataFrame, refs: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """Findings about images that regf.read() has taken apart; with `errors`, also what could not be read.
+def _at(record: str, field: int) -> Column:
+    """Place in the file of a field of a record."""
+    return F.col(record) + HEADER_SIZE + 4 + field
+
+
+def broken_records(keys: DataFrame, refs: DataFrame) -> list[DataFrame]:
+    """Keys that count subkeys or values but whose list could not be read: both fields can be emptied, as nothing is reached by them."""
+    out = []
+    for what, ref, n in (("subkey", "key", "subkey_n"), ("value", "values", "value_n")):
+        read = refs.where(F.col("kind") == ref).select("hive_id", F.col("src").alias("key_off"))
+        lost = keys.where(F.col(n) > 0).join(read, ["hive_id", "key_off"], "left_anti")
+        count, list_ = (RECORD_FIELDS[f"{what}_{x}"][1] for x in ("count", "list"))
+        out.append(lost.select(_diag("error", "NK", f"{what} list cannot be read: count", _at("key_off", count), F.lit(0), F.col(n), (f"{what}_count", "set the count to 0", 0.7, "low", True), F.col("path"))))
+        out.append(lost.select(_diag("error", "NK", f"{what} list cannot be read: offset", _at("key_off", list_), F.lit(NONE), None, (f"{what}_list", "set the offset to none", 0.9, "low", True), F.col("path"))))
+    return out
+
+
+def short_values(values: DataFrame) -> DataFrame:
+    """Values with less data than their size says."""
+    has = F.octet_length("data")
+    return values.where(~F.col("inline") & (has < F.col("size"))).select(_diag("warning", "VK", "data is shorter than its size", _at("value_off", RECORD_FIELDS["value_size"][1]), has, F.col("size"), ("value_size", "cut the size to the data", 0.7, "low", True), F.col("key_path")))
+
+
+def diagnose(hives: DataFrame, hbins: DataFrame, cells: DataFrame, keys: DataFrame, refs: DataFrame, errors: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
+    """Findings about images that regf.read() has taken apart; with `errors`, also what could not be read; with `values`, also short data.
 
     refs: hive_id, kind (what refers), src, dst (cell offsets). A cell in use
     that nothing reaches from the root is an orphan.
@@ -93,8 +117,11 @@ def diagnose(hives: DataFrame, hbins: DataFrame, cells: DataFrame, keys: DataFra
     reached = refs.select("hive_id", "dst").unionByName(hives.select("hive_id", h("root_cell").alias("dst"))).distinct()
     orphans = used.join(reached, ["hive_id", "dst"], "left_anti")
     out.append(orphans.groupBy("hive_id").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).select(_diag("warning", "cell", "cells in use that nothing refers to", h("dst"), F.lit(0), h("n"))))
+    out += broken_records(keys, refs)
     if errors is not None:
         out.append(unreadable(errors))
+    if values is not None:
+        out.append(short_values(values))
     rows = out[0]
     for x in out[1:]:
         rows = rows.unionByName(x)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.regf import checksum
+from ..sources.regf import HEADER_SIZE, RECORD_FIELDS, checksum
 from .checks import auto_repairable
 
 
@@ -19,10 +19,14 @@ def plan(diagnostics: DataFrame, max_risk: str = "low") -> DataFrame:
 
 
 def patch(image: bytes, repairs: list[tuple[int, str, int]]) -> tuple[bytes, list[str]]:
-    """The image with 4-byte patches, and a log. A patch outside the image undoes all."""
+    """The image with 4-byte patches, and a log. A patch outside the image, or of a field whose record is not there, undoes all."""
     data, log = bytearray(image), []
     for off, kind, value in sorted(repairs, key=lambda r: r[1] == "checksum"):
         at, new = {"sequence": (8, struct.unpack_from("<I", data, 4)[0]), "checksum": (508, None), "hbin_offset": (off, value)}.get(kind, (None, None))
+        if kind in RECORD_FIELDS:
+            sig, field = RECORD_FIELDS[kind]
+            if off - field >= HEADER_SIZE and data[off - field : off - field + 2] == sig:
+                at, new = off, value
         if kind == "checksum":
             new = checksum(bytes(data[:4096]))
         if at is None or at + 4 > len(data):
@@ -35,13 +39,18 @@ def patch(image: bytes, repairs: list[tuple[int, str, int]]) -> tuple[bytes, lis
 
 
 def safe(repairs: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds `safe`: the patch lies inside the image, is aligned, and no other patch of the image touches its four bytes."""
-    size = files.select("hive_id", F.octet_length("content").alias("_size"))
+    """Adds `safe`: the patch lies inside the image, is aligned, no other patch of the image touches its four bytes, and a field's record is where it should be."""
+    size = files.select("hive_id", F.octet_length("content").alias("_size"), F.col("content").alias("_content"))
     mine = F.when(F.col("kind") == "sequence", 8).when(F.col("kind") == "checksum", 508).otherwise(F.col("offset"))
     r = repairs.join(size, "hive_id", "left").withColumn("_at", mine)
+    here = F.lit(True)
+    for kind, (sig, field) in RECORD_FIELDS.items():
+        start = (F.col("offset") - field).cast("int")
+        here = F.when(F.col("kind") == kind, (start >= HEADER_SIZE) & (F.col("_content").substr(start + 1, F.lit(2)) == F.lit(sig))).otherwise(here)
+    r = r.withColumn("_here", here).drop("_content")
     same = r.groupBy("hive_id", "_at").agg(F.count("*").alias("_n"))
     fits = (F.col("_at") >= 0) & (F.col("_at") + 4 <= F.col("_size")) & (F.col("_at") % 4 == 0)
-    return r.join(same, ["hive_id", "_at"]).withColumn("safe", F.coalesce(fits & (F.col("_n") == 1), F.lit(False))).select(*repairs.columns, "safe")
+    return r.join(same, ["hive_id", "_at"]).withColumn("safe", F.coalesce(fits & F.col("_here") & (F.col("_n") == 1), F.lit(False))).select(*repairs.columns, "safe")
 
 
 def untouched(before: bytes, after: bytes, places: list[int]) -> bool:

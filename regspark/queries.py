@@ -725,6 +725,32 @@ def repair_images(spark, sf):
     return checks.verify(after["hives"], after["hbins"], after["cells"])
 
 
+@query(rf"""WITH {_TREE}, p AS (SELECT split_part(cpath, '\', 1) AS hive_id, split_part(cpath, '\', 2) AS nat, cpath FROM cust), e AS (SELECT hive_id, min(nat) AS lo, max(cpath) AS hi FROM p GROUP BY 1)
+SELECT hive_id, 1 + count(DISTINCT nat) + count_if(nat <> lo)::BIGINT AS n_keys, count_if(nat <> lo AND cpath <> hi)::BIGINT AS n_values, 0 AS n_errors, 0 AS n_short FROM p JOIN e USING (hive_id) GROUP BY 1""")
+def repair_records(spark, sf):
+    """Images in which a key's subkey list, another's value list and a value's size are wrong, after repair: what was out of reach is gone, all else is whole."""
+    from .operators import repair
+    from .sources import regf
+
+    names = ("hives", "hbins", "cells", "keys", "refs", "errors", "values")
+    whole = _hives(spark, sf)
+    t = regf.tables(whole, id_col="hive_id")
+    field = lambda off, kind: (off + regf.HEADER_SIZE + 4 + regf.RECORD_FIELDS[kind][1] + 1).cast("int")
+    k = t["keys"].groupBy("hive_id").agg(F.min_by("key_off", F.when(F.col("depth") == 1, F.col("path"))).alias("a"), F.max_by("key_off", F.when(F.col("depth") == 2, F.col("path"))).alias("b"))
+    v = t["values"].groupBy("hive_id").agg(F.max_by("value_off", F.struct(F.substring_index("key_path", c.SEP, 1), -F.col("value_off"))).alias("v"))
+    files = whole.join(k, "hive_id").join(v, "hive_id")
+    for off, kind, wrong in (("a", "subkey_list", b"\xf0\xff\xff\x7f"), ("b", "value_list", b"\xf0\xff\xff\x7f"), ("v", "value_size", b"\x00\x10\x00\x00")):
+        files = files.withColumn("content", F.overlay("content", F.lit(wrong), field(F.col(off), kind)))
+    files = files.select("hive_id", "content")
+    t = regf.tables(files, id_col="hive_id")
+    todo = repair.safe(repair.plan(checks.diagnose(*(t[x] for x in names))), files).where("safe").drop("safe")
+    t = regf.tables(repair.apply(files, todo), id_col="hive_id")
+    n = lambda x, how: t[x].groupBy("hive_id").agg(how)
+    out = n("keys", F.count("*").alias("n_keys")).join(n("values", F.count("*").alias("n_values")), "hive_id", "left").join(n("errors", F.count("*").alias("n_errors")), "hive_id", "left")
+    out = out.join(n("values", F.count_if(F.octet_length("data") < F.col("size")).alias("n_short")), "hive_id", "left")
+    return out.select("hive_id", "n_keys", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("n_values", "n_errors", "n_short")))
+
+
 @query(f"SELECT r_name AS hive_id, line FROM region, (VALUES ('0x00000004,REGF,sequence numbers differ'), ('0x000001fc,REGF,checksum differs'), ('0x00001004,HBIN,offset field differs')) AS t(line) WHERE r_regionkey IN ({_IN_USE})")
 def diagnostic_annotations(spark, sf):
     from .sources import regf

@@ -31,6 +31,8 @@ NONE = 0xFFFFFFFF
 # Fixed values of the format.
 HEADER_SIZE, PAGE, BIN_HEADER, CHUNK = 4096, 4096, 32, 16344
 COMPRESSED_KEY, ROOT_KEY, COMPRESSED_VALUE, INLINE = 0x20, 0x04, 0x01, 0x80000000
+#: Fields that repairs write: the signature of their record and their place after it begins.
+RECORD_FIELDS = {"subkey_count": (b"nk", 20), "subkey_list": (b"nk", 28), "value_count": (b"nk", 36), "value_list": (b"nk", 40), "value_size": (b"vk", 4)}
 # Counts and sizes that are not believed.
 MOST_SUBKEYS, MOST_VALUES, MOST_DATA = 1_000_000, 1_000_000, 256 << 20
 

@@ -70,6 +70,19 @@ def test_diagnose_and_repair(spark):
     assert bytes(repair.apply(files, repair.plan(found), dry_run=True).first()["content"]) == bytes(d)
 
 
+def test_record_repairs():
+    whole = image()
+    (root,) = struct.unpack_from("<I", whole, 36)
+    place = 4096 + root + 4
+    got, log = repair.patch(whole, [(place + 20, "subkey_count", 0), (place + 28, "subkey_list", regf.NONE)])
+    after = regf.Image("h", got, tolerant=False).parse()
+    assert len(log) == 2 and [(k[3], k[8]) for k in after["keys"]] == [("", 0)]
+    assert repair.untouched(whole, got, [place + 20, place + 28, 508])
+    for wrong in ((place + 24, "subkey_count", 0), (20, "value_count", 0), (len(whole) + 8, "value_size", 0)):
+        got, log = repair.patch(whole, [(place + 20, "subkey_count", 0), wrong])
+        assert got == whole and log[-1].endswith("all undone")
+
+
 REG = """Windows Registry Editor Version 5.00
 
 ; a comment
