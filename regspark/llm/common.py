@@ -49,8 +49,8 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _give_back() -> None:
-    """Returns what this worker has freed to the system, as workers wait for further tasks."""
+def give_back() -> None:
+    """Returns what this process has freed to the system: workers wait for further tasks, the driver for its stages."""
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
@@ -68,7 +68,7 @@ def map_arrow(df: DataFrame, f, schema) -> DataFrame:
         try:
             yield from f(batches)
         finally:
-            _give_back()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

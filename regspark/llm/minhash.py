@@ -294,6 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc")
     name = least.groupBy("component").agg(F.min("doc").alias("name"))
     named = least.groupBy("node", "component").agg(F.min("doc").alias("doc")).join(name, "component").select(F.col("node").alias("d1"), "name")
+    named = materialise(named)  # so what follows, which has the caller's rows, is planned without the joins before
     out = rows.select("doc", "n", F.when(F.col("n") > 0, F.col("d1")).alias("d1")).join(named, "d1", "left")
     out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "doc").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as t
-from .common import map_arrow
+from .common import give_back, map_arrow
 
 #: Hashed features: each word and its first so many bytes.
 DIMS = 1 << 20
@@ -152,7 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, fold, id_col: str = "doc_id", text
     got = map_arrow(rows, bag, "_y int, _h long, ids array<int>, n array<long>").toArrow()
     order = np.lexsort((got["_h"].to_numpy(), got["_y"].to_numpy())).tolist()  # rows come in any order; equal keys are equal rows
     ids, n, y = list(map(_np, got["ids"])), list(map(_np, got["n"])), got["_y"].to_numpy()
-    return fit([(ids[k], n[k]) for k in order], y[order].astype(int))
+    model = fit([(ids[k], n[k]) for k in order], y[order].astype(int))
+    del got, ids, n
+    give_back()
+    return model
 
 
 def _np(x) -> np.ndarray:

@@ -238,6 +238,36 @@ def test_components(spark):
     assert got == {i: find(i) for a, b in edges if a != b for i in (a, b)}
 
 
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_components_by_size(spark, small, monkeypatch):
+    """Shuffled stars and one task agree, on hubs, chains, repeated edges and nodes out of order too."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    rng = random.Random(2)
+    edges = [(9, 9), (None, 3)] + [(-(1 << 62), 1 << 62)] * 2 + [(1000, i) for i in range(900, 990)] + [(i, 2000 + (i * 7) % 101) for i in range(2000, 2101)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]
+    top = {}
+    find = lambda i: i if top.setdefault(i, i) == i else find(top[i])
+    full = [(a, b) for a, b in edges if a is not None and a != b]
+    for a, b in full:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    rows = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert len(rows) == len({r.node for r in rows}) and {r.node: r.component for r in rows} == {i: find(i) for e in full for i in e}
+    none = graph.components(spark.createDataFrame([(1, 1)], "a long, b long"))
+    assert none.columns == ["node", "component"] and none.collect() == []
+
+
+def test_few_links_take_few_stages(spark):
+    """The driver accounts for each task of a stage: rounds of shuffled stars are not for a few links."""
+    sc = spark.sparkContext
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 500, 2)], "a long, b long")
+    try:
+        sc.setJobGroup("few links", "")
+        assert graph.components(edges).count() == 500
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("few links")) <= 6
+
+
 def test_tokens(odd):
     import public_tokenizers
     import sentencepiece
