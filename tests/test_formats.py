@@ -83,6 +83,53 @@ def test_record_repairs():
         assert got == whole and log[-1].endswith("all undone")
 
 
+def test_image_in_pieces():
+    """What is held while an image is taken apart does not grow with it."""
+    import tracemalloc
+
+    whole, n, most = hivewriter.build([{"path": f"W{i % 7}\\k{i}"} for i in range(40_000)], []), 0, 0
+    tracemalloc.start()
+    for name, rows in regf.Image("h", memoryview(whole), tolerant=False).pieces():
+        n, most = n + len(rows) * (name == "keys"), max(most, len(rows))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 40_008 and most <= regf.HELD + 100 and peak < 12 << 20
+
+
+def test_writer_holds_offsets_only():
+    import tracemalloc
+
+    tracemalloc.start()
+    image = hivewriter._Image()
+    for i in range(40_000):
+        image.key(["a", f"{i:06}"], ["A", f"{i:06}"])
+        image.value("x", 3, b"12345678")
+    size = len(image.finish())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * size
+    t = regf.Image("h", image.data, tolerant=False).parse()
+    assert len(t["keys"]) == 40_002 and len(t["values"]) == 40_000 and t["security"][0][4] == 40_002
+
+
+def test_counts_that_an_image_can_hold(monkeypatch):
+    monkeypatch.setattr(regf, "MOST_SUBKEYS", 1000)
+    assert len(regf.Image("h", image(), tolerant=False).parse()["keys"]) == len(KEYS) + 3
+    assert regf.Image("h", corrupted("many")).parse()["errors"]
+
+
+def test_write_keeps_order_of_values(spark):
+    keys = ["A", "A!b", "a\\C", "A\\b", "zero\0key\\x", "one\1", "\\lead", "日本\\é"]
+    names = [f"v{(i * 7) % 10}" for i in range(10)]
+    k = spark.createDataFrame([(h, p) for h in ("h", "g") for p in keys], "hive_id string, path string")
+    v = spark.createDataFrame([(h, "A\\B", x, 4, bytearray(b"1234567")) for h in ("h", "g") for x in names], "hive_id string, key_path string, name string, reg_type int, data binary").coalesce(1)
+    got = {r.hive_id: regf.Image(r.hive_id, bytes(r.image), tolerant=False).parse() for r in hivewriter.write(k, v).collect()}
+    want = regf.Image("h", hivewriter.build([{"path": p} for p in keys], [{"key_path": "A\\B", "name": x, "reg_type": 4, "data": b"1234567"} for x in names]), tolerant=False).parse()
+    for t in got.values():
+        assert [x[3] for x in t["keys"]] == [x[3] for x in want["keys"]] == ["", "A", "A\\b", "A\\C", "A!b", "lead", "one\1", "zero\0key", "zero\0key\\x", "日本", "日本\\é"]
+        assert [x[4] for x in t["values"]] == names and {x[3] for x in t["values"]} == {"A\\b"}
+
+
 REG = """Windows Registry Editor Version 5.00
 
 ; a comment
