@@ -98,3 +98,14 @@ def test_applied_and_snapshot(spark):
     assert {r[0] for r in apply.live_keys(ops).select("path").collect()} == {"A"}
     r = apply.applied(apply.live_values(base, ["number"]), apply.live_values(ops, ["number"]), ["path_norm", "name"], ["number"]).first()
     assert (r.n_created, r.n_deleted, r.n_changed, r.n_same) == (1, 0, 0, 1)
+
+
+def test_deletes_above_hold_only_deletes(spark):
+    """Each operation meets only keys at depths where something is deleted, and no task sorts what is below one key."""
+    ops = frame(spark, [(i, SET, f"all\\u{i % 3}\\k{i}", "x", i) for i in range(1, 40)] + [(20, DELETE_KEY, "all\\u1", None, None), (10, DELETE_KEY, "ALL\\u2", None, None), (50, DELETE_KEY, "", None, None)])
+    met = oplog.deletes_above(ops.select("seq", "path_norm"), ops)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan
+    assert {(r.top, r["del"]) for r in met.collect()} == {("all\\u1", 20), ("all\\u2", 10), ("", 50)}
+    gone = {r.seq for r in oplog.shadowed(ops).collect()}
+    assert gone == {i for i in range(1, 20) if i % 3 == 1} | {i for i in range(1, 10) if i % 3 == 2}
