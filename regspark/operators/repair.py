@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.regf import HEADER_SIZE, RECORD_FIELDS, checksum
+from ..sources.regf import HEADER_SIZE, RECORD_FIELDS, checksum, contents, image_batch
 from .checks import auto_repairable
 
 
@@ -18,7 +18,7 @@ def plan(diagnostics: DataFrame, max_risk: str = "low") -> DataFrame:
     return d.select("hive_id", "offset", F.col("repair.type").alias("kind"), F.col("expected").cast("long").alias("value")).orderBy("hive_id", F.col("kind") == "checksum", "offset")
 
 
-def patch(image: bytes, repairs: list[tuple[int, str, int]]) -> tuple[bytes, list[str]]:
+def patch(image: bytes | memoryview, repairs: list[tuple[int, str, int]]) -> tuple[bytes | bytearray | memoryview, list[str]]:
     """The image with 4-byte patches, and a log. A patch outside the image, or of a field whose record is not there, undoes all."""
     data, log = bytearray(image), []
     for off, kind, value in sorted(repairs, key=lambda r: r[1] == "checksum"):
@@ -35,22 +35,25 @@ def patch(image: bytes, repairs: list[tuple[int, str, int]]) -> tuple[bytes, lis
         log.append(f"{kind} at {at}: {new}")
     if repairs:  # the header changed, so did its sum
         struct.pack_into("<I", data, 508, checksum(bytes(data[:4096])))
-    return bytes(data), log
+    return data, log
 
 
 def safe(repairs: DataFrame, files: DataFrame) -> DataFrame:
     """Adds `safe`: the patch lies inside the image, is aligned, no other patch of the image touches its four bytes, and a field's record is where it should be."""
-    size = files.select("hive_id", F.octet_length("content").alias("_size"), F.col("content").alias("_content"))
-    mine = F.when(F.col("kind") == "sequence", 8).when(F.col("kind") == "checksum", 508).otherwise(F.col("offset"))
-    r = repairs.join(size, "hive_id", "left").withColumn("_at", mine)
+    image, r = F.col("_content"), F.col("_r")
+    kind, offset = r["kind"], r["offset"]
+    at = F.when(kind == "sequence", 8).when(kind == "checksum", 508).otherwise(offset)
     here = F.lit(True)
-    for kind, (sig, field) in RECORD_FIELDS.items():
-        start = (F.col("offset") - field).cast("int")
-        here = F.when(F.col("kind") == kind, (start >= HEADER_SIZE) & (F.col("_content").substr(start + 1, F.lit(2)) == F.lit(sig))).otherwise(here)
-    r = r.withColumn("_here", here).drop("_content")
-    same = r.groupBy("hive_id", "_at").agg(F.count("*").alias("_n"))
-    fits = (F.col("_at") >= 0) & (F.col("_at") + 4 <= F.col("_size")) & (F.col("_at") % 4 == 0)
-    return r.join(same, ["hive_id", "_at"]).withColumn("safe", F.coalesce(fits & F.col("_here") & (F.col("_n") == 1), F.lit(False))).select(*repairs.columns, "safe")
+    for name, (sig, field) in RECORD_FIELDS.items():
+        start = (offset - field).cast("int")
+        here = F.when(kind == name, (start >= HEADER_SIZE) & (image.substr(start + 1, F.lit(2)) == F.lit(sig))).otherwise(here)
+    fits = (at >= 0) & (at + 4 <= F.octet_length("_content")) & (at % 4 == 0)
+    # an image meets its repairs once, not once for each, and goes no further than this join
+    per = repairs.groupBy("hive_id").agg(F.collect_list(F.struct(*repairs.columns)).alias("_todo"))
+    j = per.join(files.select("hive_id", F.col("content").alias("_content")), "hive_id", "left")
+    met = j.select("_content", F.explode("_todo").alias("_r")).select("_r.*", at.alias("_at"), (fits & here).alias("_fits"))
+    same = met.groupBy("hive_id", "_at").agg(F.count("*").alias("_n"), F.collect_list(F.struct(*repairs.columns, "_fits")).alias("_rs"))
+    return same.select(F.explode("_rs").alias("_r"), "_n").select(*(F.col("_r")[x].alias(x) for x in repairs.columns), F.coalesce(F.col("_r._fits") & (F.col("_n") == 1), F.lit(False)).alias("safe"))
 
 
 def untouched(before: bytes, after: bytes, places: list[int]) -> bool:
@@ -90,11 +93,9 @@ def apply(files: DataFrame, repairs: DataFrame, dry_run: bool = False) -> DataFr
 
     def run(batches):
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                got, log = patch(r["content"], [(x["offset"], x["kind"], x["value"]) for x in r["todo"] or []])
-                out.append((r["hive_id"], r["content"] if dry_run else got, log))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.string(), pa.binary(), pa.list_(pa.string())), strict=True)], ["hive_id", "content", "log"])
+            for (hive, content), todo in zip(contents(b), b.column(2), strict=True):
+                got, log = patch(content, [(x["offset"], x["kind"], x["value"]) for x in todo.as_py() or []])
+                yield image_batch(["hive_id", "content", "log"], hive, content if dry_run else got, pa.array([log], pa.list_(pa.string())))
+                del got
 
     return files.select("hive_id", "content").join(per, "hive_id", "left").mapInArrow(run, "hive_id string, content binary, log array<string>")

@@ -83,6 +83,20 @@ def test_record_repairs():
         assert got == whole and log[-1].endswith("all undone")
 
 
+def test_safe_meets_an_image_once(spark):
+    whole = image()
+    (root,) = struct.unpack_from("<I", whole, 36)
+    place = 4096 + root + 4
+    files = spark.createDataFrame([("h", bytearray(whole))], "hive_id string, content binary")
+    todo = [("h", 4, "sequence", 1), ("h", place + 20, "subkey_count", 0), ("h", place + 24, "subkey_count", 0), ("h", 508, "checksum", 0), ("h", 5002, "hbin_offset", 0), ("h", 8192, "hbin_offset", 0), ("h", 8192, "hbin_offset", 1), ("none", 4, "sequence", 1)]
+    got = repair.safe(spark.createDataFrame(todo, "hive_id string, offset long, kind string, value long"), files)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert {(r.hive_id, r.offset, r.kind, r.value) for r in got.where("safe").collect()} == {todo[0], todo[1], todo[3]} and got.count() == len(todo)
+    fixed = repair.apply(files, got.where("safe").drop("safe")).first()
+    after = regf.Image("h", bytes(fixed["content"]), tolerant=False).parse()
+    assert len(fixed["log"]) == 3 and after["hives"][0][-1] == after["hives"][0][-2]
+
+
 def test_image_in_pieces():
     """What is held while an image is taken apart does not grow with it."""
     import tracemalloc
